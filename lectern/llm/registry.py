@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, token_counts, toxicity
+from . import line_dedup, packing, shingle_join, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,6 +27,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,7 +40,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_token_counts, op8_toxicity, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_token_counts, op3_shingle_join, op8_toxicity, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
