@@ -25,12 +25,12 @@ class Tables:
     recomputation. drop() removes the tables that the result no longer needs."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.paths, self.base = spark, {}, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.paths, self.made, self.base = spark, {}, 0, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, key: str, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{key}-{len(self.paths)}"
+        path = f"{self.base}/{key}-{self.made}"
+        self.made += 1
         self.paths[key] = [*self.paths.get(key, []), path]
-        self.paths[f"#{len(self.paths)}"] = []
         schema = df.schema
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
@@ -76,17 +76,44 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: So many edges one task joins in memory (about 100 MB).
+EDGES_A_TASK = 1_000_000
+
+
+def joined(batches):
+    """Edges (a, b) to edges (node, smallest node that these edges reach), for one task's edges."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = up = root[up]
+            x = up
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    if kind is not None:
+        nodes = [x for x in root if find(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["a", "b"])
+
+
 def connected_components(tables: Tables, edges: DataFrame, name: str) -> DataFrame:
-    """(node, component), component being the smallest node reachable. edges: (a, b), no nulls. Large-star and
-    small-star steps in turn (Kiveris et al., 2014): each replaces a node's edges by edges to its smallest neighbour, so no
-    step emits pairs within a group, and the number of rounds grows with the logarithm of the graph's size. Between the rounds
-    the edges are a table in the shared folder."""
+    """(node, component), component being the smallest node reachable. edges: (a, b), no nulls. Tasks of at most EDGES_A_TASK edges each
+    first replace their edges by those of a forest; if there is more than one such task, large-star and small-star steps
+    follow in turn (Kiveris et al., 2014): each replaces a node's edges by edges to its smallest neighbour, so no step
+    emits pairs within a group, and the number of rounds grows with the logarithm of the graph's size. Between rounds the edges are a
+    table in the shared folder."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         if large:
             both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m0")).select(F.col("u").alias("u0"), F.least("u", "m0").alias("m")) if large else both.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "u0")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u0"), (F.least("u", "m") if large else F.col("m")).alias("m"))
         linked = both.join(least, both["u"] == least["u0"]).select("u", "v", "m")
         if large:
             out = linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -94,9 +121,12 @@ def connected_components(tables: Tables, edges: DataFrame, name: str) -> DataFra
             out = linked.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u0").alias("a"), F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
+    kind = edges.schema["a"].dataType.simpleString()
     edges = tables.put(f"{name}-edges", edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    parts = -(-edges.count() // EDGES_A_TASK) or 1
+    edges = tables.put(f"{name}-edges", edges.repartition(parts).mapInArrow(joined, f"a {kind}, b {kind}"))
     seen = None
-    while True:
+    while parts > 1:
         after = tables.put(f"{name}-edges", star(star(edges, True), False))
         now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         edges = after
