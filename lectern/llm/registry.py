@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, shingle_join, token_counts, toxicity
+from . import embedding_join, line_dedup, nearest, packing, shingle_join, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,16 +31,25 @@ def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_token_counts, op3_shingle_join, op8_toxicity, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_token_counts, op3_shingle_join, op4_nearest, op8_toxicity, op9_embedding_join, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
