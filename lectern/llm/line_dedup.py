@@ -68,7 +68,7 @@ def repeated_runs(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str
 def with_runs(documents: DataFrame, min_lines: int, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column]:
     """The documents with a column of runs, the column of their lines and that of the lines kept."""
     runs = repeated_runs(documents, min_lines, id_col, text_col).groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_runs"))
-    runs = runs.select(F.col("d").alias("_d"), F.col("h").alias("_h"), "_runs")
+    runs = runs.select(F.col("d").alias("_d"), F.col("h").alias("_h"), "_runs").hint("merge")  # one plan at every size: the runs grow with the corpus
     joined = documents.join(runs, (documents[id_col] == runs["_d"]) & (F.xxhash64(documents[text_col]) == runs["_h"]), "left")
     lines = split_lines(documents[text_col])
     kept = F.when(F.col("_runs").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i < r["stop"]))))
