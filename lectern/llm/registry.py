@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, line_dedup, nearest, packing, shingle_join, token_counts, toxicity
+from . import embedding_join, line_dedup, nearest, packing, shingle_join, suffix_dedup, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,6 +36,10 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_token_counts, op3_shingle_join, op4_nearest, op8_toxicity, op9_embedding_join, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_token_counts, op3_shingle_join, op4_nearest, op5_suffix_dedup, op8_toxicity, op9_embedding_join, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
