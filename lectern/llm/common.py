@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir. Only where it is unset (tests) is one made and set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,7 +35,12 @@ class Tables:
         self.made += 1
         self.paths[key] = [*self.paths.get(key, []), path]
         schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        old = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")  # the shuffle files of a finished step are of no more use: its table is what is read
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, old)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *keys: str) -> None:
