@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, line_dedup, nearest, packing, shingle_join, suffix_dedup, token_counts, toxicity
+from . import embedding_join, line_dedup, nearest, packing, pieces, shingle_join, suffix_dedup, token_counts, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,6 +40,15 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pieces.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return got.select("doc_id", "n_bytes", "n_tokens", "ids_crc32", "round_trip")
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisits_of_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,8 +62,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_token_counts, op3_shingle_join, op4_nearest, op5_suffix_dedup, op8_toxicity, op9_embedding_join, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_token_counts, op3_shingle_join, op4_nearest, op5_suffix_dedup, op6_pieces, op7_warc_revisits, op8_toxicity, op9_embedding_join, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.ORACLE}
+    return {"op7_warc_revisits": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
