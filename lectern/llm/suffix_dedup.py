@@ -15,7 +15,8 @@ from .induced import Shard
 LENGTH = 100
 GRAM = 24  # bytes of an anchor
 SLICE = 256  # texts at a time
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 19  # a shard's sort takes about 65 times as much
+FLUSH_BYTES = 8 << 20  # of distinct pieces that a task holds before it sends them
 M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -171,7 +172,7 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
         for batch in batches:
             ids, hashes, listed_ = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             seen: dict[bytes, int] = {}
-            gone, kept = [], []  # (row, start, stop) of later copies; (bucket, row, start, stop) of the first ones
+            gone, kept, held = [], [], 0  # (row, start, stop) of later copies; (shard, row, start, size) of the first ones
             for at in range(0, batch.num_rows, SLICE):
                 body, off = utf8(batch.column(2).slice(at, SLICE))
                 row, key, anchor, first, last = pieces(body, off, length)
@@ -185,34 +186,39 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
                 lo, hi = off[row[here]] + first[here], off[row[here]] + last[here] + length
                 shard = ((key[here].view(np.uint64) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
                 r = row[here] + at
-                for k, (a, z) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+                for s1, r1, a1, a, z in zip(shard.tolist(), r.tolist(), first[here].tolist(), lo.tolist(), hi.tolist(), strict=True):
                     piece = raw[a:z]
-                    other = seen.get(piece)
-                    if other is None:
-                        seen[piece] = len(kept)
-                        kept.append((int(shard[k]), int(r[k]), int(first[here[k]]), z - a))
+                    other = seen.setdefault(piece, len(kept))
+                    if other == len(kept):
+                        kept.append((s1, r1, a1, z - a))
+                        held += z - a
                     else:  # the earlier one, by id, hash and start, stays
                         s, r0, a0, n = kept[other]
-                        r1, a1 = int(r[k]), int(first[here[k]])
                         if (ids[r1], hashes[r1], a1) < (ids[r0], hashes[r0], a0):
                             kept[other] = (s, r1, a1, n)
                             r1, a1 = r0, a0
                         gone.append((r1, a1, a1 + n))
-            if gone:
-                g = np.array(gone, np.int64)
-                start, stop, row = spans(g[:, 1], g[:, 2], g[:, 0])
-                for a in range(0, len(row), 20_000):
-                    k = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([-1 - int(hashes[row[a]] & 0xFFFF)]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[row[k]], hashes[row[k]], start[k], stop[k])), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], names)
-            if kept:
-                k = np.array(kept, np.int64)
-                body_of = list(seen)
-                order = np.argsort(k[:, 0], kind="stable")
-                edge = np.flatnonzero(np.append(True, np.diff(k[order, 0]) != 0))
-                groups = np.split(order, edge[1:])
-                for a in range(0, len(groups), 64):
-                    part = groups[a : a + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(k[g[0], 0]) for g in part]), *(pa.array([x.tobytes() for x in col], pa.binary()) for col in ([ids[k[g, 1]] for g in part], [hashes[k[g, 1]] for g in part], [k[g, 2] for g in part], [k[g, 2] + k[g, 3] for g in part], [k[g, 3] for g in part])), pa.array([b"".join([body_of[i] for i in g]) for g in part], pa.binary())], names)
+                if held > FLUSH_BYTES:
+                    yield from sent(ids, hashes, seen, kept, gone)
+                    seen, kept, gone, held = {}, [], [], 0
+            yield from sent(ids, hashes, seen, kept, gone)
+
+    def sent(ids, hashes, seen, kept, gone):
+        if gone:
+            g = np.array(gone, np.int64)
+            start, stop, row = spans(g[:, 1], g[:, 2], g[:, 0])
+            for a in range(0, len(row), 20_000):
+                k = slice(a, a + 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(hashes[row[a]] & 0xFFFF)]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[row[k]], hashes[row[k]], start[k], stop[k])), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], names)
+        if kept:
+            k = np.array(kept, np.int64)
+            body_of = list(seen)
+            order = np.argsort(k[:, 0], kind="stable")
+            edge = np.flatnonzero(np.append(True, np.diff(k[order, 0]) != 0))
+            groups = np.split(order, edge[1:])
+            for a in range(0, len(groups), 64):
+                part = groups[a : a + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([int(k[g[0], 0]) for g in part]), *(pa.array([x.tobytes() for x in col], pa.binary()) for col in ([ids[k[g, 1]] for g in part], [hashes[k[g, 1]] for g in part], [k[g, 2] for g in part], [k[g, 2] + k[g, 3] for g in part], [k[g, 3] for g in part])), pa.array([b"".join([body_of[i] for i in g]) for g in part], pa.binary())], names)
 
     def sort(bucket: tuple, t: pa.Table) -> pa.Table:
         d, h, start, stop, size = (np.frombuffer(b"".join(t[c].to_pylist()), np.int64) for c in names[1:6])
