@@ -16,8 +16,8 @@ WORD = np.uint64(0x9E3779B97F4A7C15)
 SLICE, PACK = 2048, 64
 
 #: A token that this many sets have, or more, is of the frequent class.
-FREQUENT = 32
-#: Keys with at most this many sets give all their pairs at once.
+FREQUENT = 12
+#: Combinations with at most this many sets give all their pairs at once.
 SMALL = 8
 
 
@@ -215,23 +215,32 @@ def links(documents: DataFrame, tables: Tables, words: int, num: int, den: int,
             keys, nodes, sizes = combinations(node[s], n[s], token[s], num, den)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), pa.array(sizes)], ["key", "node", "n"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    combos = post.where("frequent").select("node", "n", "token").repartition(parts, "node").mapInArrow(combine, "key long, node long, n long")
-    keyed = post.where("not frequent").select(F.col("token").alias("key"), "node", "n").unionByName(combos)
-    keyed = tables.put("keys", keyed)
-    stats = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("node", "n")).alias("head")).where("many > 1")
-    keyed = tables.put("keyed", keyed.join(stats, "key"))
-
     def fits(x: str, y: str):
-        return (F.least(x, y) * den >= F.greatest(x, y) * num)
+        return F.least(x, y) * den >= F.greatest(x, y) * num
+
+    # rare tokens: all pairs of a token's few sets. Similar sets share so many tokens of their extended prefixes that the rare ones
+    # they share and all their frequent ones can't be fewer
+    few = post.where("not frequent").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("s"))
+    couples = few.select(F.explode(F.flatten(F.transform("s", lambda u, i: F.transform(F.slice("s", i + 2, FREQUENT), lambda v: F.struct(u["node"].alias("u"), u["n"].alias("un"), v["node"].alias("v"), v["n"].alias("vn")))))).alias("p")).select("p.*")
+    shared = tables.put("shared", couples.where(fits("un", "vn")).groupBy("u", "v", "un", "vn").agg(F.count("*").alias("c")))
+    often = post.where("frequent").groupBy("node").agg(F.countDistinct("token").alias("f"))
+    shared = shared.join(often.toDF("u", "uf"), "u", "left").join(often.toDF("v", "vf"), "v", "left")
+    more = F.least("un", "vn")
+    need = F.least(F.greatest(F.lit(16), F.floor(more / 16)) + 1, F.ceil(F.greatest("un", "vn") * num / den))
+    pairs = shared.where(F.col("c") + F.least(F.coalesce("uf", F.lit(0)), F.coalesce("vf", F.lit(0))) >= need).select("u", "v")
 
-    few = keyed.where(f"many <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("s"))
-    couples = few.select(F.explode(F.flatten(F.transform("s", lambda u, i: F.transform(F.slice("s", i + 2, SMALL), lambda v: F.struct(u["node"].alias("u"), u["n"].alias("un"), v["node"].alias("v"), v["n"].alias("vn")))))).alias("p")).select("p.*")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    combos = post.where("frequent").select("node", "n", "token").repartition(parts, "node").mapInArrow(combine, "key long, node long, n long")
+    combos = tables.put("keys", combos)
+    stats = combos.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("node", "n")).alias("head")).where("many > 1")
+    keyed = tables.put("keyed", combos.join(stats, "key"))
+    small = keyed.where(f"many <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("s"))
+    couples = small.select(F.explode(F.flatten(F.transform("s", lambda u, i: F.transform(F.slice("s", i + 2, SMALL), lambda v: F.struct(u["node"].alias("u"), u["n"].alias("un"), v["node"].alias("v"), v["n"].alias("vn")))))).alias("p")).select("p.*")
     stars = keyed.where(f"many > {SMALL} and node <> head.node").select(F.col("head.node").alias("u"), F.col("head.n").alias("un"), F.col("node").alias("v"), F.col("n").alias("vn"))
-    pairs = couples.unionByName(stars).where(fits("un", "vn")).select("u", "v").distinct()
+    pairs = pairs.unionByName(couples.unionByName(stars).where(fits("un", "vn")).select("u", "v")).distinct()
     pairs = tables.put("pairs", pairs)
     found = verified(documents, tables, classes, pairs, words, num, den, id_col, text_col)
-    # keys with many sets: what the star did not join is compared pair by pair
+    # combinations of many sets: what the star did not join is compared pair by pair
     big = keyed.where(f"many > {SMALL}").select("key", "node", "n")
     if big.limit(1).count():
         named = tables.put("named", connected_components(tables, found.select(F.col("u").alias("a"), F.col("v").alias("b")), "inner"))
@@ -269,10 +278,10 @@ def verified(documents: DataFrame, tables: Tables, classes: DataFrame, pairs: Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     nodes = pairs.select(F.col("u").alias("a")).unionByName(pairs.select(F.col("v").alias("a"))).distinct()
-    wanted = classes.join(nodes, "a", "left_semi").select(F.col("first").alias("_first")).distinct()
+    wanted = classes.join(nodes, "a", "left_semi").select(F.col("first").alias("_first")).distinct().hint("merge")
     texts = documents.join(wanted, documents[id_col] == wanted["_first"], "left_semi").select(text_col)
-    made = tables.put("sets", texts.mapInArrow(make, "node long, s binary").join(nodes, F.col("node") == nodes["a"], "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(made.toDF("u", "s"), "u").join(made.toDF("v", "t"), "v").select("u", "v", "s", "t")
+    made = tables.put("sets", texts.mapInArrow(make, "node long, s binary"))
+    both = pairs.hint("merge").join(made.toDF("u", "s"), "u").join(made.toDF("v", "t").hint("merge"), "v").select("u", "v", "s", "t")
     out = tables.put("found", both.mapInArrow(count, "u long, v long"))
     tables.drop("sets")
     return out
@@ -293,5 +302,5 @@ def near_groups(documents: DataFrame, words: int = 5, num: int = 75, den: int =
     # rows with one id unite the classes they are in
     out = rows.join(named, ["a", "b", "n"], "left").select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component_id", "d")).alias("component_id"))
     out = tables.put("out", out)
-    tables.drop("postings", "keys", "keyed", "pairs", "named", "open", "rest", "found", "links", "prints", "inner-edges", "outer-edges")
+    tables.drop("postings", "shared", "keys", "keyed", "pairs", "named", "open", "rest", "found", "links", "prints", "inner-edges", "outer-edges")
     return out
