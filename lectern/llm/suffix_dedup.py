@@ -65,6 +65,11 @@ def pieces(body: np.ndarray, off: np.ndarray, length: int, gram: int = GRAM) ->
     return row[new], h[anchor[new]].view(np.int64), anchor[new] - base, start[new] - base, start[last] - base
 
 
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Evenly, though keys are the smallest hashes of their windows."""
+    return ((mix(key.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def repeated_anchors(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     """(d, h, anchor) of the pieces whose anchor's bytes anchor another piece, too. A task sends each key once, with the first piece that
     has it, and a mark if it has found it twice; the other pieces with that key are known at once."""
@@ -93,7 +98,7 @@ def repeated_anchors(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             begin = np.flatnonzero(first)
             many = np.diff(np.append(begin, len(key))) > 1
             key, d, h, an = key[begin], d[begin], h[begin], an[begin]
-            bucket = ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = bucket_of(key, buckets)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cut))
@@ -184,7 +189,7 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
                 here = np.flatnonzero(known[at_] == code) if len(known) else np.zeros(0, np.int64)
                 raw = body.tobytes()
                 lo, hi = off[row[here]] + first[here], off[row[here]] + last[here] + length
-                shard = ((key[here].view(np.uint64) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                shard = bucket_of(key[here], shards)
                 r = row[here] + at
                 for s1, r1, a1, a, z in zip(shard.tolist(), r.tolist(), first[here].tolist(), lo.tolist(), hi.tolist(), strict=True):
                     piece = raw[a:z]
