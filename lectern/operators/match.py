@@ -38,10 +38,10 @@ def top_candidates(candidates: DataFrame, item: str, n: int = 2, rank: str = "ra
 
 
 def doi_by_title(items: DataFrame, candidates: DataFrame, key: str = "key", n: int = 2) -> DataFrame:
-    """(key, doi): of an item's first n candidates (key, rank, title, DOI) the first whose squashed title is within one edit."""
+    """(key, found_doi): of an item's first n candidates (key, rank, title, DOI) the first whose squashed title is within one edit."""
     top = top_candidates(candidates, key, n).select(F.col(key).alias("_k"), F.col("rank").alias("_r"), squash("title").alias("_t"), F.col("DOI").alias("_d"))
     met = items.select(key, squash("title").alias("_own")).join(top, F.col(key) == F.col("_k")).where(within_one_edit("_own", "_t"))
-    return met.groupBy(key).agg(F.min_by("_d", "_r").alias("doi"))
+    return met.groupBy(key).agg(F.min_by("_d", "_r").alias("found_doi"))
 
 
 def repair_dois(items: DataFrame, candidates: DataFrame, key: str = "key", n: int = 2) -> DataFrame:
@@ -49,4 +49,4 @@ def repair_dois(items: DataFrame, candidates: DataFrame, key: str = "key", n: in
     missing = items.where(~valid_doi("DOI"))
     got = doi_by_title(missing, candidates, key, n).withColumnRenamed(key, "_key")
     joined = items.join(got, items[key] == got["_key"], "left")
-    return joined.select(*[F.when(valid_doi("DOI"), F.col("DOI")).otherwise(F.coalesce("doi", F.lit("not found"))).alias("DOI") if c == "DOI" else items[c] for c in items.columns])
+    return joined.select(*[F.when(valid_doi("DOI"), F.col("DOI")).otherwise(F.coalesce("found_doi", F.lit("not found"))).alias("DOI") if c == "DOI" else items[c] for c in items.columns])
