@@ -191,55 +191,125 @@ def postings(documents: DataFrame, words: int, num: int, den: int, buckets: int,
     return documents.select(text_col).mapInArrow(send, "bucket long, token binary, node binary, n binary").groupBy("bucket").applyInArrow(receive, "node long, n long, token long, frequent boolean")
 
 
-def links(documents: DataFrame, tables: Tables, words: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The classes of equal sets, (d, n, node, first), and the links (x, y) between the smallest ids of linked classes. Every link between
-    classes is in the closure of these: a pair is left out only if other links join its classes already."""
-    spark = documents.sparkSession
-    rows = tables.put("prints", fingerprints(documents, words, id_col, text_col))
-    classes = rows.where("n > 0 and d is not null").groupBy("a", "b", "n").agg(F.min("d").alias("first"))
-    known = documents.where(F.col(id_col).isNotNull())
-    volume = rows.agg(F.sum(F.least(F.col("n"), F.col("n") * (den - num) / den + 17 + F.col("n") / 16))).first()[0] or 0
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(volume // 1_000_000))
-    post = tables.put("postings", postings(known, words, num, den, buckets, text_col))
+def set_table(documents: DataFrame, tables: Tables, classes: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, s): the sets of the nodes (a column a), made anew from one text each."""
+
+    def make(batches):
+        for batch in batches:
+            flat, off = sets(batch.column(0), words)
+            a, _ = prints(flat, off)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array([flat[i:j].tobytes() for i, j in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["node", "s"])
+
+    wanted = classes.join(nodes, "a", "left_semi").select(F.col("first").alias("_first")).distinct().hint("merge")
+    texts = documents.join(wanted, documents[id_col] == wanted["_first"], "left_semi").select(text_col)
+    return tables.put("sets", texts.mapInArrow(make, "node long, s binary"))
+
+
+def verified(tables: Tables, made: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose sets are similar enough, each counted exactly."""
+
+    def count(batches):
+        for batch in batches:
+            ok = []
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
+                k = np.searchsorted(y, x)
+                both = int((y[np.minimum(k, len(y) - 1)] == x).sum())
+                ok.append(den * both >= num * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.hint("merge").join(made.toDF("u", "s"), "u").join(made.toDF("v", "t").hint("merge"), "v").select("u", "v", "s", "t")
+    return tables.put("found", both.mapInArrow(count, "u long, v long"))
+
+
+def couples(keyed: DataFrame, key: str, most: int) -> DataFrame:
+    """(u, un, v, vn): all pairs of the nodes of each key; a key has `most` nodes at most."""
+    few = keyed.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("s"))
+    pair = F.flatten(F.transform("s", lambda u, i: F.transform(F.slice("s", i + 2, most), lambda v: F.struct(u["node"].alias("u"), u["n"].alias("un"), v["node"].alias("v"), v["n"].alias("vn")))))
+    return few.select(F.explode(pair).alias("p")).select("p.*")
+
+
+def heavy_keys(made: DataFrame, heavy: DataFrame, tables: Tables, num: int, den: int, parts: int) -> DataFrame:
+    """(key, node, n) of the sets with many frequent tokens, for each other: their tokens are counted among them and put in order, rarest
+    first; of the extended prefixes, a token that few of them have is a key of its own, frequent ones give the keys of two-token
+    combinations."""
+
+    def spread(batches):
+        for batch in batches:
+            s = batch.column(1)
+            size = np.array([len(x) // 8 for x in s.to_pylist()], np.int64)
+            node = batch.column(0).to_numpy()
+            token = np.frombuffer(b"".join(s.to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, size)), pa.array(np.repeat(size, size)), pa.array(token)], ["node", "n", "token"])
 
-    def combine(batches):
+    def prefix(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        t = pa.Table.from_batches(held).to_pandas().drop_duplicates().sort_values(["node", "token"])
-        # the rows of a partition are whole nodes; the work goes by blocks of nodes
-        node, n, token = (t[c].to_numpy(np.int64) for c in ("node", "n", "token"))
+        t = pa.Table.from_batches(held)
+        node, n, token, df = (t[c].to_numpy() for c in ("node", "n", "token", "df"))
+        order = np.lexsort((token, df, node))
+        node, n, token, df = node[order], n[order], token[order], df[order]
         begin = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        many = np.diff(np.append(begin, len(node)))
+        place = np.arange(len(node)) - np.repeat(begin, many) + n - np.repeat(many, many)  # tokens that no other of these sets has come first
+        keep = place < n - least_overlap(n, num, den) + 1 + extension(n)
+        node, n, token, df = node[keep], n[keep], token[keep], df[keep]
+        rare = df < FREQUENT
+        yield pa.RecordBatch.from_arrays([pa.array(token[rare]), pa.array(node[rare]), pa.array(n[rare])], ["key", "node", "n"])
+        node, n, token = node[~rare], n[~rare], token[~rare]
+        order = np.lexsort((token, node))
+        node, n, token = node[order], n[order], token[order]
+        begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else node
         for a in range(0, len(begin), 256):
             s = slice(begin[a], begin[a + 256] if a + 256 < len(begin) else len(node))
             keys, nodes, sizes = combinations(node[s], n[s], token[s], num, den)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), pa.array(sizes)], ["key", "node", "n"])
 
+    tokens = tables.put("tokens", made.join(heavy, "node", "left_semi").mapInArrow(spread, "node long, n long, token long").distinct())
+    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    counted = tokens.join(df, "token").select("node", "n", "token", "df").repartition(parts, "node")
+    return tables.put("keys", counted.mapInArrow(prefix, "key long, node long, n long"))
+
+
+def links(documents: DataFrame, tables: Tables, words: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sizes and fingerprints of all rows, and the links (x, y) between the smallest ids of linked classes of equal sets. Every link
+    between classes is in the closure of these: a pair is left out only if other links join its classes already."""
+    spark = documents.sparkSession
+    rows = tables.put("prints", fingerprints(documents, words, id_col, text_col))
+    classes = rows.where("n > 0 and d is not null").groupBy("a", "b", "n").agg(F.min("d").alias("first"))
+    known = documents.where(F.col(id_col).isNotNull())
+    volume = rows.agg(F.sum(F.least(F.col("n"), F.col("n") * (den - num) / den + 17 + F.col("n") / 16))).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(64, 4 * parts, int(volume // 1_000_000))
+    post = tables.put("postings", postings(known, words, num, den, buckets, text_col))
+
     def fits(x: str, y: str):
         return F.least(x, y) * den >= F.greatest(x, y) * num
 
     # rare tokens: all pairs of a token's few sets. Similar sets share so many tokens of their extended prefixes that the rare ones
     # they share and all their frequent ones can't be fewer
-    few = post.where("not frequent").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("s"))
-    couples = few.select(F.explode(F.flatten(F.transform("s", lambda u, i: F.transform(F.slice("s", i + 2, FREQUENT), lambda v: F.struct(u["node"].alias("u"), u["n"].alias("un"), v["node"].alias("v"), v["n"].alias("vn")))))).alias("p")).select("p.*")
-    shared = tables.put("shared", couples.where(fits("un", "vn")).groupBy("u", "v", "un", "vn").agg(F.count("*").alias("c")))
-    often = post.where("frequent").groupBy("node").agg(F.countDistinct("token").alias("f"))
-    shared = shared.join(often.toDF("u", "uf"), "u", "left").join(often.toDF("v", "vf"), "v", "left")
-    more = F.least("un", "vn")
-    need = F.least(F.greatest(F.lit(16), F.floor(more / 16)) + 1, F.ceil(F.greatest("un", "vn") * num / den))
-    pairs = shared.where(F.col("c") + F.least(F.coalesce("uf", F.lit(0)), F.coalesce("vf", F.lit(0))) >= need).select("u", "v")
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    combos = post.where("frequent").select("node", "n", "token").repartition(parts, "node").mapInArrow(combine, "key long, node long, n long")
-    combos = tables.put("keys", combos)
-    stats = combos.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("node", "n")).alias("head")).where("many > 1")
-    keyed = tables.put("keyed", combos.join(stats, "key"))
-    small = keyed.where(f"many <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("s"))
-    couples = small.select(F.explode(F.flatten(F.transform("s", lambda u, i: F.transform(F.slice("s", i + 2, SMALL), lambda v: F.struct(u["node"].alias("u"), u["n"].alias("un"), v["node"].alias("v"), v["n"].alias("vn")))))).alias("p")).select("p.*")
+    rare = post.where("not frequent")
+    shared = tables.put("shared", couples(rare, "token", FREQUENT).where(fits("un", "vn")).groupBy("u", "v", "un", "vn").agg(F.count("*").alias("c")))
+    often = tables.put("often", post.where("frequent").groupBy("node", "n").agg(F.countDistinct("token").alias("f")))
+    f = often.select("node", "f")
+    joined = shared.join(f.toDF("u", "uf"), "u", "left").join(f.toDF("v", "vf"), "v", "left")
+    need = F.least(F.greatest(F.lit(16), F.floor(F.least("un", "vn") / 16)) + 1, F.ceil(F.greatest("un", "vn") * num / den))
+    pairs = tables.put("pairs", joined.where(F.col("c") + F.least(F.coalesce("uf", F.lit(0)), F.coalesce("vf", F.lit(0))) >= need).select("u", "v"))
+    # sets with so many frequent tokens that they might share no rare one with a similar set. Two such sets meet among
+    # themselves; any other set shares a rare token with each similar one
+    less = F.floor(F.col("n") * num / den)
+    heavy = tables.put("heavy", often.where(F.col("f") >= F.least(F.greatest(F.lit(16), F.floor(less / 16)) + 1, F.ceil(F.col("n") * num / den))).select("node"))
+    nodes = pairs.select(F.col("u").alias("a")).unionByName(pairs.select(F.col("v").alias("a"))).unionByName(heavy.select(F.col("node").alias("a"))).distinct()
+    made = set_table(documents, tables, classes, nodes, words, id_col, text_col)
+    keys = heavy_keys(made, heavy, tables, num, den, parts)
+    stats = keys.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("node", "n")).alias("head")).where("many > 1")
+    keyed = tables.put("keyed", keys.join(stats, "key"))
     stars = keyed.where(f"many > {SMALL} and node <> head.node").select(F.col("head.node").alias("u"), F.col("head.n").alias("un"), F.col("node").alias("v"), F.col("n").alias("vn"))
-    pairs = pairs.unionByName(couples.unionByName(stars).where(fits("un", "vn")).select("u", "v")).distinct()
-    pairs = tables.put("pairs", pairs)
-    found = verified(documents, tables, classes, pairs, words, num, den, id_col, text_col)
+    more = couples(keyed.where(f"many <= {SMALL}"), "key", SMALL).unionByName(stars).where(fits("un", "vn"))
+    pairs = tables.put("pairs", pairs.unionByName(more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct())
+    found = verified(tables, made, pairs, num, den)
     # combinations of many sets: what the star did not join is compared pair by pair
     big = keyed.where(f"many > {SMALL}").select("key", "node", "n")
     if big.limit(1).count():
@@ -250,43 +320,12 @@ def links(documents: DataFrame, tables: Tables, words: int, num: int, den: int,
         x, y = left.select("key", F.col("node").alias("u"), F.col("n").alias("un"), F.col("c").alias("cu")), left.select("key", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("c").alias("cv"))
         rest = x.join(y, "key").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits("un", "vn")).select("u", "v").distinct()
         rest = tables.put("rest", rest.join(pairs, ["u", "v"], "left_anti"))
-        found = found.unionByName(verified(documents, tables, classes, rest, words, num, den, id_col, text_col))
+        found = found.unionByName(verified(tables, made, rest, num, den))
     name = classes.select(F.col("a").alias("node"), "first")
     out = found.join(name.toDF("u", "x"), "u").join(name.toDF("v", "y"), "v").select("x", "y").where("x <> y").distinct()
     return rows, tables.put("links", out)
 
 
-def verified(documents: DataFrame, tables: Tables, classes: DataFrame, pairs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (u, v) of nodes whose sets are similar enough: the sets of the nodes in question are made anew from their
-    texts, once each, and every pair is counted exactly."""
-
-    def make(batches):
-        for batch in batches:
-            flat, off = sets(batch.column(0), words)
-            a, _ = prints(flat, off)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array([flat[i:j].tobytes() for i, j in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["node", "s"])
-
-    def count(batches):
-        for batch in batches:
-            ok = []
-            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                k = np.searchsorted(y, x)
-                both = int((y[np.minimum(k, len(y) - 1)] == x).sum())
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    nodes = pairs.select(F.col("u").alias("a")).unionByName(pairs.select(F.col("v").alias("a"))).distinct()
-    wanted = classes.join(nodes, "a", "left_semi").select(F.col("first").alias("_first")).distinct().hint("merge")
-    texts = documents.join(wanted, documents[id_col] == wanted["_first"], "left_semi").select(text_col)
-    made = tables.put("sets", texts.mapInArrow(make, "node long, s binary"))
-    both = pairs.hint("merge").join(made.toDF("u", "s"), "u").join(made.toDF("v", "t").hint("merge"), "v").select("u", "v", "s", "t")
-    out = tables.put("found", both.mapInArrow(count, "u long, v long"))
-    tables.drop("sets")
-    return out
-
-
 def near_groups(documents: DataFrame, words: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row. Sets of word shingles with den * overlap >= num * union are linked; a component's id is
     the smallest document id in it.
@@ -302,5 +341,5 @@ def near_groups(documents: DataFrame, words: int = 5, num: int = 75, den: int =
     # rows with one id unite the classes they are in
     out = rows.join(named, ["a", "b", "n"], "left").select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component_id", "d")).alias("component_id"))
     out = tables.put("out", out)
-    tables.drop("postings", "shared", "keys", "keyed", "pairs", "named", "open", "rest", "found", "links", "prints", "inner-edges", "outer-edges")
+    tables.drop("postings", "shared", "often", "heavy", "sets", "tokens", "keys", "keyed", "pairs", "named", "open", "rest", "found", "links", "prints", "inner-edges", "outer-edges")
     return out
