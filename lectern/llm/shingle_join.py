@@ -15,6 +15,8 @@ CODE[65:91] = BYTE_CODE[97:123]  # A-Z count as a-z
 WORD = np.uint64(0x9E3779B97F4A7C15)
 SLICE, PACK = 2048, 64
 
+SIGNATURE = [f"s{k}" for k in range(8)]
+
 #: A token that this many sets have, or more, is of the frequent class.
 FREQUENT = 12
 #: Combinations with at most this many sets give all their pairs at once.
@@ -230,10 +232,25 @@ def couples(keyed: DataFrame, key: str, most: int) -> DataFrame:
     return few.select(F.explode(pair).alias("p")).select("p.*")
 
 
+def signatures(made: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(node, s0 ... s7): for each of 512 classes of tokens whether the set has an odd number of them. Two signatures differ in no more bits than
+    their sets do in tokens, so a pair that differs in too many is not similar enough, for certain."""
+
+    def run(batches):
+        for batch in batches:
+            rows = np.zeros((batch.num_rows, 8), np.int64)
+            for k, s in enumerate(batch.column(1).to_pylist()):
+                odd = np.bincount((mix(np.frombuffer(s, np.uint64)) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+                rows[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, k]) for k in range(8))], ["node", *SIGNATURE])
+
+    return made.join(heavy, "node", "left_semi").mapInArrow(run, "node long, " + ", ".join(f"{c} long" for c in SIGNATURE)).distinct()
+
+
 def heavy_keys(made: DataFrame, heavy: DataFrame, tables: Tables, num: int, den: int, parts: int) -> DataFrame:
-    """(key, node, n) of the sets with many frequent tokens, for each other: their tokens are counted among them and put in order, rarest
+    """(key, node, n, q) of the sets with many frequent tokens, for each other: their tokens are counted among them and put in order, rarest
     first; of the extended prefixes, a token that few of them have is a key of its own, frequent ones give the keys of two-token
-    combinations."""
+    combinations. q is how much of the set others of them have, in thousandths."""
 
     def spread(batches):
         for batch in batches:
@@ -254,10 +271,13 @@ def heavy_keys(made: DataFrame, heavy: DataFrame, tables: Tables, num: int, den:
         begin = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         many = np.diff(np.append(begin, len(node)))
         place = np.arange(len(node)) - np.repeat(begin, many) + n - np.repeat(many, many)  # tokens that no other of these sets has come first
+        known = node[begin]  # sorted
+        common = many * 1000 // n[begin]  # how much of a set others have, too
         keep = place < n - least_overlap(n, num, den) + 1 + extension(n)
         node, n, token, df = node[keep], n[keep], token[keep], df[keep]
         rare = df < FREQUENT
-        yield pa.RecordBatch.from_arrays([pa.array(token[rare]), pa.array(node[rare]), pa.array(n[rare])], ["key", "node", "n"])
+        names = ["key", "node", "n", "q"]
+        yield pa.RecordBatch.from_arrays([pa.array(token[rare]), pa.array(node[rare]), pa.array(n[rare]), pa.array(common[np.searchsorted(known, node[rare])])], names)
         node, n, token = node[~rare], n[~rare], token[~rare]
         order = np.lexsort((token, node))
         node, n, token = node[order], n[order], token[order]
@@ -265,12 +285,12 @@ def heavy_keys(made: DataFrame, heavy: DataFrame, tables: Tables, num: int, den:
         for a in range(0, len(begin), 256):
             s = slice(begin[a], begin[a + 256] if a + 256 < len(begin) else len(node))
             keys, nodes, sizes = combinations(node[s], n[s], token[s], num, den)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), pa.array(sizes)], ["key", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), pa.array(sizes), pa.array(common[np.searchsorted(known, nodes)])], names)
 
     tokens = tables.put("tokens", made.join(heavy, "node", "left_semi").mapInArrow(spread, "node long, n long, token long").distinct())
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     counted = tokens.join(df, "token").select("node", "n", "token", "df").repartition(parts, "node")
-    return tables.put("keys", counted.mapInArrow(prefix, "key long, node long, n long"))
+    return tables.put("keys", counted.mapInArrow(prefix, "key long, node long, n long, q long"))
 
 
 def links(documents: DataFrame, tables: Tables, words: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -304,7 +324,7 @@ def links(documents: DataFrame, tables: Tables, words: int, num: int, den: int,
     nodes = pairs.select(F.col("u").alias("a")).unionByName(pairs.select(F.col("v").alias("a"))).unionByName(heavy.select(F.col("node").alias("a"))).distinct()
     made = set_table(documents, tables, classes, nodes, words, id_col, text_col)
     keys = heavy_keys(made, heavy, tables, num, den, parts)
-    stats = keys.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("node", "n")).alias("head")).where("many > 1")
+    stats = keys.groupBy("key").agg(F.count("*").alias("many"), F.max(F.struct("q", "node", "n")).alias("head")).where("many > 1")
     keyed = tables.put("keyed", keys.join(stats, "key"))
     stars = keyed.where(f"many > {SMALL} and node <> head.node").select(F.col("head.node").alias("u"), F.col("head.n").alias("un"), F.col("node").alias("v"), F.col("n").alias("vn"))
     more = couples(keyed.where(f"many <= {SMALL}"), "key", SMALL).unionByName(stars).where(fits("un", "vn"))
@@ -316,9 +336,12 @@ def links(documents: DataFrame, tables: Tables, words: int, num: int, den: int,
         named = tables.put("named", connected_components(tables, found.select(F.col("u").alias("a"), F.col("v").alias("b")), "inner"))
         placed = big.join(named, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
         open_ = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-        left = tables.put("open", placed.join(open_, "key").distinct())
-        x, y = left.select("key", F.col("node").alias("u"), F.col("n").alias("un"), F.col("c").alias("cu")), left.select("key", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("c").alias("cv"))
-        rest = x.join(y, "key").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits("un", "vn")).select("u", "v").distinct()
+        left = placed.join(open_, "key").distinct().join(signatures(made, heavy), "node")
+        left = tables.put("open", left)
+        x, y = left.select("key", *[F.col(c).alias(f"u{c}") for c in ("node", "n", "c", *SIGNATURE)]), left.select("key", *[F.col(c).alias(f"v{c}") for c in ("node", "n", "c", *SIGNATURE)])
+        differ = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in SIGNATURE), F.lit(0))
+        near = differ * (den + num) <= (F.col("un") + F.col("vn")) * (den - num)
+        rest = x.join(y, "key").where((F.col("unode") < F.col("vnode")) & (F.col("uc") != F.col("vc")) & fits("un", "vn") & near).select(F.col("unode").alias("u"), F.col("vnode").alias("v")).distinct()
         rest = tables.put("rest", rest.join(pairs, ["u", "v"], "left_anti"))
         found = found.unionByName(verified(tables, made, rest, num, den))
     name = classes.select(F.col("a").alias("node"), "first")
