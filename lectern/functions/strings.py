@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import BENCHMARKED, HAVE_CODE
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -109,8 +111,8 @@ def graph_label(short_title: Column | str, author: Column | str, year: Column |
 def flag_tags(tags: Column | str) -> tuple[Column, Column]:
     """(code, bench) flags of a ;-joined tag list."""
     t = F.coalesce(_c(tags), F.lit(""))
-    code = F.when(F.contains(t, F.lit("STATUT:have code")), "1").otherwise("0")
-    bench = F.when(F.contains(t, F.lit("STATUT:is benchmarked")), "1").otherwise("0")
+    code = F.when(F.contains(t, F.lit(HAVE_CODE)), "1").otherwise("0")
+    bench = F.when(F.contains(t, F.lit(BENCHMARKED)), "1").otherwise("0")
     return code, bench
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import year_of
+from ..schema import BENCHMARKED, HAVE_CODE, NO_CODE, NOT_BENCHMARKED
 from .filters import in_focus, is_preprint
 
 
@@ -17,7 +18,7 @@ def method_tags(methods: Column, tasks: Column) -> Column:
 
 def status_tags(code: Column, benchmarked: Column) -> Column:
     """What a paper has, as tags."""
-    return F.array(F.when(code, "STATUT:have code").otherwise("STATUT:donthave code"), F.when(benchmarked, "STATUT:is benchmarked").otherwise("STATUT:not benchmarked"))
+    return F.array(F.when(code, HAVE_CODE).otherwise(NO_CODE), F.when(benchmarked, BENCHMARKED).otherwise(NOT_BENCHMARKED))
 
 
 def task_counts(df: DataFrame, tasks: str) -> DataFrame:

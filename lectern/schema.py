@@ -13,6 +13,9 @@ CANONICAL = ["title", "publisher", "itemType", "authors", "language", "abstract"
 LATE = ["conferenceName", "series"]
 COLUMNS = CANONICAL + LATE
 MISSING = ["", "NA", "NAN", "NONE", "NOT FOUND"]
+# The tags that say what a paper has.
+HAVE_CODE, NO_CODE = "STATUT:have code", "STATUT:donthave code"
+BENCHMARKED, NOT_BENCHMARKED = "STATUT:is benchmarked", "STATUT:not benchmarked"
 
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 

@@ -43,6 +43,7 @@ def _and(words: list[str], joiner: str = " AND ") -> str:
     return joiner.join(words)
 
 
+# The services' names, page sizes, limits and query forms.
 SOURCES: dict[str, SourceSpec] = {
     s.name.lower(): s
     for s in (
