@@ -38,7 +38,7 @@ class Tables:
         old = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")  # the shuffle files of a finished step are of no more use: its table is what is read
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, old)
         return self.spark.read.schema(schema).parquet(path)

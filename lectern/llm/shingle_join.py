@@ -62,6 +62,13 @@ def sets(column: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
 
 
+def slices(batches):
+    """The batches in parts of SLICE rows, which bounds what a worker holds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
     return run[off[1:]] - run[off[:-1]]
@@ -127,7 +134,7 @@ def fingerprints(documents: DataFrame, words: int, id_col: str, text_col: str) -
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             flat, off = sets(batch.column(1), words)
             a, b = prints(flat, off)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(a), pa.array(b)], ["d", "n", "a", "b"])
@@ -143,7 +150,7 @@ def postings(documents: DataFrame, words: int, num: int, den: int, buckets: int,
     rows go straight on, and only its count goes to the bucket, so that no bucket gets all rows of a hot token."""
 
     def send(batches):
-        for batch in batches:
+        for batch in slices(batches):
             flat, off = sets(batch.column(0), words)
             n = np.diff(off)
             a, _ = prints(flat, off)
@@ -197,7 +204,7 @@ def set_table(documents: DataFrame, tables: Tables, classes: DataFrame, nodes: D
     """(node, s): the sets of the nodes (a column a), made anew from one text each."""
 
     def make(batches):
-        for batch in batches:
+        for batch in slices(batches):
             flat, off = sets(batch.column(0), words)
             a, _ = prints(flat, off)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array([flat[i:j].tobytes() for i, j in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["node", "s"])
