@@ -227,10 +227,18 @@ class Shard:
         rank[number[order]] = name
         step = 1
         while name[-1] + 1 < len(lms) and step < self.depth // 2 + 1:  # an LMS substring advances two characters at least
-            key = rank << 32
-            key[:-step] |= rank[step:] + 1
-            by = np.argsort(key)
-            k = key[by]
+            bits = int(len(lms)).bit_length()
+            if bits <= 21:  # both ranks and the place fit into one number, whose sort is several times as fast
+                key = rank << 2 * bits
+                key[:-step] |= rank[step:] + 1 << bits
+                key |= np.arange(len(lms))
+                key.sort()
+                by, k = key & (1 << bits) - 1, key >> bits
+            else:
+                key = rank << 32
+                key[:-step] |= rank[step:] + 1
+                by = np.argsort(key)
+                k = key[by]
             name = np.cumsum(np.append(False, k[1:] != k[:-1]))
             rank[by] = name
             step *= 2
