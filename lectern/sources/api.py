@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .registry import SourceSpec, source
+from .registry import SOURCES, SourceSpec, source
 
 SCHEMA = "api string, id_collect int, page int, total long, n int, results string"
 
@@ -69,8 +69,7 @@ def collect(queries: DataFrame, fetch: Callable[[str, str, int], dict]) -> DataF
                 for p in pages(spec, text, lambda u, n, a=q.api: fetch(a, u, n), int(q.last_page), limit):
                     yield pd.DataFrame([[q.api, q.id_collect, p["page"], p["total"], p["n"], json.dumps(p["results"])]], columns=["api", "id_collect", "page", "total", "n", "results"])
 
-    n = max(1, len({s for s in queries.sparkSession.conf.get("spark.lectern.sources", "").split(",") if s}) or 10)
-    return queries.repartition(n, "api").mapInPandas(run, SCHEMA)
+    return queries.repartition(len(SOURCES), "api").mapInPandas(run, SCHEMA)
 
 
 def register(spark: SparkSession, name: str, schema: str, specs: list[dict], reader: Callable[[dict], Iterator[tuple]]) -> None:
