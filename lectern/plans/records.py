@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
-from ..operators import agreement, citations, dump, kg, tags
+from ..operators import agreement, citations, compose, dump, kg, tags
 from ..schema import COLUMNS
-from ..sources.normalize import normalize
+from ..sources.files import raw_records
+from ..sources.normalize import abstract_scan, normalize
 from .aggregate import aggregate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,3 +231,98 @@ SELECT p_partkey, 'Pwc_method:' || p_name || ';' || 'Pwc_task:' || p_type AS tag
 def method_tags(spark, d):
     p = part(spark, d)
     return p.select("p_partkey", F.array_join(dump.method_tags(F.array("p_name"), F.array("p_type")), ";").alias("tags"), F.array_join(tags.vocabulary(F.array("p_name", "p_name")), ";").alias("words"))
+
+
+@query("""
+SELECT p_partkey, p_brand AS author, CASE WHEN p_size % 2 = 0 THEN '1' ELSE '0' END AS code, CASE WHEN p_size % 3 = 0 THEN '1' ELSE '0' END AS bench, p_name AS abstract, CASE WHEN p_partkey % 4 <> 1 THEN p_type END AS venue, p_partkey % 4 <> 1 AS has_venue FROM part""")
+def export_strings(spark, d):
+    """Repaired authors, flags from tags, stripped markup, nested fields."""
+    held = F.concat_ws(";", F.lit("x"), F.when(F.col("p_size") % 2 == 0, S.HAVE_CODE), F.when(F.col("p_size") % 3 == 0, S.BENCHMARKED))
+    p = part(spark, d).select("p_partkey", F.concat(F.lit(", "), F.col("p_brand")).alias("author"), held.alias("held"), F.concat(F.lit("<jats:p>"), F.col("p_name"), F.lit("</jats:p>")).alias("abstract"), F.struct(F.struct(some(F.col("p_type"), 1).alias("name")).alias("venue")).alias("j"))
+    code, bench = S.flag_tags("held")
+    return p.select("p_partkey", S.repair_authors("author").alias("author"), code.alias("code"), bench.alias("bench"), S.strip_markup("abstract").alias("abstract"), S.field("j", "venue", "name").alias("venue"), S.has_field("j", "venue", "name").alias("has_venue"))
+
+
+@query("SELECT event_type AS method, count(*) AS nb FROM events GROUP BY 1 UNION ALL SELECT 'k' || json_extract_string(props, '$.k'), count(*) FROM events GROUP BY 1")
+def method_usage(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return dump.usage(e.select(F.array("event_type", F.concat(F.lit("k"), F.get_json_object("props", "$.k"))).alias("methods")))
+
+
+def rated_cube(spark, d) -> DataFrame:
+    """Users of a group of ten as annotators of one url, their event types as dimensions."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select(F.lit("x").alias("doc_type"), F.floor(F.col("user_id") / 10).alias("url"), (F.col("user_id") % 10).cast("string").alias("annotator"), F.concat("event_type", F.lit(":"), (F.round("value").cast("int") % 2).cast("string")).alias("tag")).where("value > 12").distinct()
+
+
+CUBE = "c AS (SELECT DISTINCT user_id // 10 AS url, CAST(user_id % 10 AS VARCHAR) AS annotator, event_type AS dim, event_type || ':' || (round(value)::INT % 2) AS tag FROM events WHERE value > 12), g AS (SELECT url, annotator, dim, string_agg(tag, ';' ORDER BY tag) AS category FROM c GROUP BY 1, 2, 3), r AS (SELECT DISTINCT url, annotator FROM c), d AS (SELECT DISTINCT dim FROM c), f AS (SELECT r.url, r.annotator, d.dim, coalesce(g.category, d.dim || ':?') AS category FROM r CROSS JOIN d LEFT JOIN g ON g.url = r.url AND g.annotator = r.annotator AND g.dim = d.dim)"
+
+
+def grid(spark, d) -> DataFrame:
+    cube = rated_cube(spark, d)
+    cats = agreement.categories(cube.groupBy("doc_type", "url", "annotator").agg(F.collect_set("tag").alias("tags")), F.col("tags"))
+    return agreement.dense(cats, cats.select("doc_type", "url", "annotator").distinct(), cats.select("doc_type", "dim").distinct())
+
+
+@query("WITH " + CUBE + " SELECT dim, url, category, count(*) AS n FROM f GROUP BY 1, 2, 3")
+def rating_grid(spark, d):
+    return agreement.contingency(grid(spark, d), ["dim"])
+
+
+@query("WITH " + CUBE + """, o AS (SELECT *, dense_rank() OVER (PARTITION BY dim ORDER BY category) - 1 AS code FROM f),
+p AS (SELECT x.url, x.annotator AS annotator1, y.annotator AS annotator2, x.code AS a, y.code AS b FROM o x JOIN o y ON x.url = y.url AND x.dim = y.dim AND x.annotator < y.annotator),
+n AS (SELECT url, annotator1, annotator2, count(*) AS n, avg((a = b)::INT) AS po FROM p GROUP BY 1, 2, 3),
+s AS (SELECT url, annotator1, annotator2, a AS code, 1 AS x, 0 AS y FROM p UNION ALL SELECT url, annotator1, annotator2, b, 0, 1 FROM p),
+e AS (SELECT url, annotator1, annotator2, sum(x * y)::DOUBLE AS xy FROM (SELECT url, annotator1, annotator2, code, sum(x) AS x, sum(y) AS y FROM s GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
+SELECT n.url, n.annotator1, n.annotator2, n, CASE WHEN xy / (n * n) < 1 THEN round((po - xy / (n * n)) / (1 - xy / (n * n)), 9) END AS kappa FROM n JOIN e USING (url, annotator1, annotator2)""")
+def cohen_pairs(spark, d):
+    """Cohen's kappa of every pair of annotators over the dimensions, with codes shared across dimensions."""
+    coded = agreement.ordinal_codes(grid(spark, d))
+    k = agreement.cohen(agreement.annotator_pairs(coded, "code"), ["url", "annotator1", "annotator2"])
+    return k.withColumn("kappa", F.round("kappa", 9))
+
+
+@query("""
+WITH a AS (SELECT user_id % 10 AS url, user_id, bool_or(event_type = 'signup' AND value > 25) AS done FROM events GROUP BY 1, 2) SELECT url FROM a GROUP BY 1 HAVING bool_and(done)""")
+def finished_items(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    cube = e.select(F.lit("x").alias("doc_type"), (F.col("user_id") % 10).alias("url"), F.col("user_id").cast("string").alias("annotator"), F.when((F.col("event_type") == "signup") & (F.col("value") > 25), "DONE").otherwise("no").alias("tag"))
+    return agreement.all_finished(cube).select("url")
+
+
+@query("""
+SELECT c_mktsegment AS api, c_nationkey AS id_collect, 1::BIGINT AS page, CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)""")
+def page_records(spark, d):
+    """Records of the pages of those queries that the state has."""
+    c, n = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/nation.parquet")
+    pages = c.groupBy(F.col("c_mktsegment").alias("api"), F.col("c_nationkey").alias("id_collect")).agg(F.collect_list(F.parse_json(F.to_json(F.struct(F.col("c_custkey").cast("string").alias("id"))))).alias("results")).withColumn("page", F.lit(1).cast("long"))
+    state = n.where("n_regionkey < 3").select(F.col("n_nationkey").alias("id_collect")).join(F.broadcast(c.select(F.col("c_mktsegment").alias("api")).distinct()), F.col("id_collect").isNotNull())
+    return raw_records(pages, state).select("api", "id_collect", "page", F.try_variant_get("r", "$.id", "string").alias("id"))
+
+
+@query("""
+WITH p AS (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2),
+a AS (SELECT l_suppkey, max(l_linenumber)::INT AS last_page, sum(n)::BIGINT AS coll_art, bool_or(n < 80) AS short FROM p GROUP BY 1)
+SELECT s_suppkey::INT AS id_collect, CASE WHEN last_page IS NULL THEN -1 WHEN short THEN 1 ELSE 0 END AS state, coalesce(last_page, 0) AS last_page, coalesce(coll_art, 0) AS coll_art FROM supplier LEFT JOIN a ON s_suppkey = l_suppkey""")
+def collection_progress(spark, d):
+    """The state of every query after its pages have come."""
+    s, li = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("supplier", "lineitem"))
+    q = s.select(F.lit("x").alias("api"), F.col("s_suppkey").cast("int").alias("id_collect"), F.array("s_name").alias("keyword"), F.lit(2020).alias("year"))
+    pages = li.groupBy(F.lit("x").alias("api"), F.col("l_suppkey").cast("int").alias("id_collect"), F.col("l_linenumber").alias("page")).agg(F.count("*").alias("n")).withColumns({"total": F.lit(0).cast("long"), "max_by_page": F.lit(80)})
+    return compose.advance(compose.initial_state(q), pages).select("id_collect", "state", "last_page", "coll_art")
+
+
+@query("""
+SELECT user_id AS paper_url, '[' || string_agg('{"dataset":"' || event_type || '","metrics_json":"' || CAST(round(value)::INT AS VARCHAR) || '"}', ',' ORDER BY event_type, CAST(round(value)::INT AS VARCHAR)) || ']' AS "callNumber" FROM events GROUP BY 1""")
+def results_json(spark, d):
+    """Evaluation results as JSON."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("paper_url"), F.lit("m").alias("model_name"), F.col("event_type").alias("dataset"), F.round("value").cast("int").cast("string").alias("metrics_json"))
+    return dump.results_by_paper(e).select("paper_url", "callNumber")
+
+
+@query("""
+SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 4 <> 1 THEN p_type END AS venue, CASE WHEN p_partkey % 4 <> 2 THEN 'pdf' END AS open_access_pdf FROM part""")
+def collector_projection(spark, d):
+    """What a collector keeps of raw records, with nulls where objects are null."""
+    body = F.struct(F.col("p_name").alias("title"), some(F.struct(F.col("p_type").alias("name")), 1).alias("venue"), some(F.struct(F.lit("pdf").alias("url")), 2).alias("openAccessPdf"))
+    return abstract_scan(raw(part(spark, d), body)).select("p_partkey", "title", "venue", "open_access_pdf")
