@@ -143,7 +143,8 @@ def pack(df: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = (2048, 102
     Each document is its text's ids (null text: none) and end_id; each id is in exactly one piece. Sequences are full windows, a power of
     two long, so none needs padding. Repeated rows are documents of their own, a null id stays null, other columns play no part;
     an empty table gives no rows. Each task packs what it reads: no shuffle, memory for `pool` windows a tier, and
-    sequence ids that start with the task's number, so a retried task gives the same rows."""
+    sequence ids that start with the task's number; of a table, whose splits are fixed, a retried task gives the same rows. (Of a
+    frame that is shuffled, write a table first, as the pipeline does.)"""
     if list(tiers) != sorted(tiers, reverse=True) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers: powers of two, largest first")
     vocab = bpe.load(df.sparkSession, tokenizer_path)
