@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from .common import Tables
 
 MIN_LINES = 3
+MIN_WORDS = 50
 
 
 def split_lines(text: str | Column) -> Column:
@@ -65,9 +66,48 @@ def repeated_runs(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str
     return out
 
 
-def with_runs(documents: DataFrame, min_lines: int, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column]:
+def repeated_passages(documents: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(d, h, start, stop): the maximal runs of lines that are later copies, a run counting if it has `min_lines` lines or `min_words`
+    words (runs of non-space characters), so that one or two long lines count, too. d, h and odd rows are as in repeated_runs.
+
+    A longer run that counts is the union of windows of at most `min_lines` lines that count: each line of it is in one that starts or
+    ends with it or holds it, and all of them occur earlier where the run does. So ranks by 1, 2, ... `min_lines` lines, each made
+    from those by one line less, find every line that deeper ranks would."""
+    tables = Tables(documents.sparkSession, "passages")
+    source = documents.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("d is not null and text is not null")
+    if source.groupBy("d", "h").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        source = source.dropDuplicates(["d", "h"])
+    line = F.posexplode(split_lines("text")).alias("i", "line")
+    lines = source.select("d", "h", line).where(F.col("line").rlike(r"\S"))
+    lines = lines.select("d", "h", "i", F.size(F.regexp_extract_all("line", F.lit(r"\S+"), F.lit(0))).cast("long").alias("words"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"))
+    found = None
+    for depth in range(1, min_lines + 1):
+        groups = lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "i")).alias("first")).where("n > 1")
+        ranks = tables.put("ranks", groups.orderBy("a", "b").select("a", "b", "first").withColumn("rank", F.monotonically_increasing_id()))
+        now = tables.put("tied", lines.join(ranks, ["a", "b"]).select("d", "h", "i", "words", "rank", (F.struct("d", "h", "i") != F.col("first")).alias("later")))
+        counts = F.col("later") if depth == min_lines else F.col("later") & (F.col("words") >= min_words)
+        here = now.where(counts).select("d", "h", "i", (F.col("i") + depth).alias("stop"))
+        found = here if found is None else found.unionByName(here)
+        if depth < min_lines:
+            after = now.select("d", "h", (F.col("i") - 1).alias("i"), F.col("rank").alias("b"))
+            if depth == 1:
+                single = tables.put("single", now.select("d", "h", "i", F.col("words").alias("one")))
+            last = single.select("d", "h", (F.col("i") - depth).alias("i"), "one")
+            lines = tables.put("pairs", now.select("d", "h", "i", "words", F.col("rank").alias("a")).join(after, ["d", "h", "i"]).join(last, ["d", "h", "i"]).select("d", "h", "i", (F.col("words") + F.col("one")).alias("words"), "a", "b"))
+    found = found.groupBy("d", "h", "i").agg(F.max("stop").alias("stop"))
+    order = Window.partitionBy("d", "h").orderBy("i")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.withColumn("run", F.coalesce((F.col("i") > reach).cast("int"), F.lit(1)))
+    runs = runs.withColumn("run", F.sum("run").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = tables.put("runs", runs.groupBy("d", "h", "run").agg(F.min("i").alias("start"), F.max("stop").alias("stop")).drop("run"))
+    tables.drop("ranks", "tied", "pairs", "single")
+    return out
+
+
+def with_runs(documents: DataFrame, min_lines: int, id_col: str, text_col: str, min_words: int | None = None) -> tuple[DataFrame, Column, Column]:
     """The documents with a column of runs, the column of their lines and that of the lines kept."""
-    runs = repeated_runs(documents, min_lines, id_col, text_col).groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_runs"))
+    found = repeated_runs(documents, min_lines, id_col, text_col) if min_words is None else repeated_passages(documents, min_lines, min_words, id_col, text_col)
+    runs = found.groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_runs"))
     runs = runs.select(F.col("d").alias("_d"), F.col("h").alias("_h"), "_runs").hint("merge")  # one plan at every size: the runs grow with the corpus
     joined = documents.join(runs, (documents[id_col] == runs["_d"]) & (F.xxhash64(documents[text_col]) == runs["_h"]), "left")
     lines = split_lines(documents[text_col])
@@ -75,18 +115,20 @@ def with_runs(documents: DataFrame, min_lines: int, id_col: str, text_col: str)
     return joined, lines, kept
 
 
-def dedup_lines(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
     """The documents with the later copies of repeated line runs deleted from their text; all other columns and rows stay. A text
-    without runs stays byte for byte; a text of which all is deleted becomes empty; null ids or texts are left alone."""
-    joined, _, kept = with_runs(documents, min_lines, id_col, text_col)
+    without runs stays byte for byte; a text of which all is deleted becomes empty; null ids or texts are left alone. With
+    `min_words`, the runs are those of repeated_passages."""
+    joined, _, kept = with_runs(documents, min_lines, id_col, text_col, min_words)
     text = F.when(F.col("_runs").isNull(), documents[text_col]).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[text.alias(c) if c == text_col else documents[c] for c in documents.columns])
 
 
-def line_dedup_digest(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_lines, n_removed, n_runs, kept_sha256) for each row; a null text has no lines and counts as empty."""
+def line_dedup_digest(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
+    """(id, n_lines, n_removed, n_runs, kept_sha256) for each row; a null text has no lines and counts as empty. `min_words` is as in
+    dedup_lines."""
     documents = documents.select(id_col, text_col)
-    joined, lines, kept = with_runs(documents, min_lines, id_col, text_col)
+    joined, lines, kept = with_runs(documents, min_lines, id_col, text_col, min_words)
     zero = F.lit(0).cast(T.LongType())
     total = F.coalesce(F.size(lines).cast("long"), zero)
     total = F.when(documents[text_col].isNull(), zero).otherwise(total)

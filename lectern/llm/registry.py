@@ -61,8 +61,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_digest(table(spark, sf_dir, "documents"), min_words=line_dedup.MIN_WORDS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_token_counts, op3_shingle_join, op4_nearest, op5_suffix_dedup, op6_pieces, op7_warc_revisits, op8_toxicity, op9_embedding_join, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_token_counts, op3_shingle_join, op4_nearest, op5_suffix_dedup, op6_pieces, op7_warc_revisits, op8_toxicity, op9_embedding_join, op10_line_dedup, op10_passage_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
