@@ -69,6 +69,7 @@ def repeated_runs(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str
 def repeated_passages(documents: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, h, start, stop): the maximal runs of lines that are later copies, a run counting if it has `min_lines` lines or `min_words`
     words (runs of non-space characters), so that one or two long lines count, too. d, h and odd rows are as in repeated_runs.
+    Blank lines play no part in a run, so paragraphs parted by them are one run; those between two deleted lines go with them.
 
     A longer run that counts is the union of windows of at most `min_lines` lines that count: each line of it is in one that starts or
     ends with it or holds it, and all of them occur earlier where the run does. So ranks by 1, 2, ... `min_lines` lines, each made
@@ -77,29 +78,29 @@ def repeated_passages(documents: DataFrame, min_lines: int = MIN_LINES, min_word
     source = documents.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("d is not null and text is not null")
     if source.groupBy("d", "h").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         source = source.dropDuplicates(["d", "h"])
-    line = F.posexplode(split_lines("text")).alias("i", "line")
-    lines = source.select("d", "h", line).where(F.col("line").rlike(r"\S"))
-    lines = lines.select("d", "h", "i", F.size(F.regexp_extract_all("line", F.lit(r"\S+"), F.lit(0))).cast("long").alias("words"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"))
+    at = F.transform(split_lines("text"), lambda x, i: F.struct(x.alias("line"), i.alias("p")))
+    lines = source.select("d", "h", F.posexplode(F.filter(at, lambda x: x["line"].rlike(r"\S"))).alias("i", "at")).select("d", "h", "i", "at.p", "at.line")
+    lines = lines.select("d", "h", "i", "p", F.size(F.regexp_extract_all("line", F.lit(r"\S+"), F.lit(0))).cast("long").alias("words"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"), F.col("p").alias("end"))
     found = None
     for depth in range(1, min_lines + 1):
         groups = lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "i")).alias("first")).where("n > 1")
         ranks = tables.put("ranks", groups.orderBy("a", "b").select("a", "b", "first").withColumn("rank", F.monotonically_increasing_id()))
-        now = tables.put("tied", lines.join(ranks, ["a", "b"]).select("d", "h", "i", "words", "rank", (F.struct("d", "h", "i") != F.col("first")).alias("later")))
+        now = tables.put("tied", lines.join(ranks, ["a", "b"]).select("d", "h", "i", "p", "end", "words", "rank", (F.struct("d", "h", "i") != F.col("first")).alias("later")))
         counts = F.col("later") if depth == min_lines else F.col("later") & (F.col("words") >= min_words)
-        here = now.where(counts).select("d", "h", "i", (F.col("i") + depth).alias("stop"))
+        here = now.where(counts).select("d", "h", "i", "p", (F.col("i") + depth).alias("stop"), "end")
         found = here if found is None else found.unionByName(here)
         if depth < min_lines:
             after = now.select("d", "h", (F.col("i") - 1).alias("i"), F.col("rank").alias("b"))
             if depth == 1:
-                single = tables.put("single", now.select("d", "h", "i", F.col("words").alias("one")))
-            last = single.select("d", "h", (F.col("i") - depth).alias("i"), "one")
-            lines = tables.put("pairs", now.select("d", "h", "i", "words", F.col("rank").alias("a")).join(after, ["d", "h", "i"]).join(last, ["d", "h", "i"]).select("d", "h", "i", (F.col("words") + F.col("one")).alias("words"), "a", "b"))
-    found = found.groupBy("d", "h", "i").agg(F.max("stop").alias("stop"))
+                single = tables.put("single", now.select("d", "h", "i", F.col("words").alias("one"), "end"))
+            last = single.select("d", "h", (F.col("i") - depth).alias("i"), "one", "end")
+            lines = tables.put("pairs", now.select("d", "h", "i", "p", "words", F.col("rank").alias("a")).join(after, ["d", "h", "i"]).join(last, ["d", "h", "i"]).select("d", "h", "i", "p", "end", (F.col("words") + F.col("one")).alias("words"), "a", "b"))
+    found = found.groupBy("d", "h", "i", "p").agg(F.max("stop").alias("stop"), F.max("end").alias("end"))
     order = Window.partitionBy("d", "h").orderBy("i")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.withColumn("run", F.coalesce((F.col("i") > reach).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("run").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = tables.put("runs", runs.groupBy("d", "h", "run").agg(F.min("i").alias("start"), F.max("stop").alias("stop")).drop("run"))
+    out = tables.put("runs", runs.groupBy("d", "h", "run").agg(F.min("p").alias("start"), (F.max("end") + 1).alias("stop")).drop("run"))
     tables.drop("ranks", "tied", "pairs", "single")
     return out
 

@@ -13,24 +13,19 @@ SCHEMA = "doc_id long, text string"
 def brute_passages(rows, m, words):
     """Every run, of every length, that counts and starts earlier, too."""
     docs = [(k, t.split("\n")) for k, t in sorted(rows)]
-    blocks = []  # (id, adjacent lines with their places)
-    for k, lines in docs:
-        at = []
-        for i, x in enumerate([*lines, ""]):
-            if x.strip():
-                at.append(i)
-            elif at:
-                blocks.append((k, at))
-                at = []
     texts, gone, seen = dict(docs), {k: set() for k, _ in docs}, set()
-    for k, at in blocks:
+    for k, lines in docs:
+        at = [i for i, x in enumerate(lines) if x.strip()]
+        deleted = set()
         for s in range(len(at)):
             for e in range(s + 1, len(at) + 1):
                 run = tuple(texts[k][i] for i in at[s:e])
                 if e - s >= m or sum(len(x.split()) for x in run) >= words:
                     if run in seen:
-                        gone[k].update(range(at[s], at[e - 1] + 1))
+                        deleted.update(range(s, e))
                     seen.add(run)
+        for s in deleted:  # and the blank lines up to a next one that goes, too
+            gone[k].update(range(at[s], at[s + 1] if s + 1 in deleted else at[s] + 1))
     out = {}
     for k, lines in docs:
         runs = sum(i - 1 not in gone[k] for i in gone[k])
@@ -55,3 +50,9 @@ def test_long_lines_and_whole_copies_go(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, long), (2, long), (3, f"own\n{long}\nend"), (4, "x\ny"), (5, "x\ny")]
     assert {k: v[1] for k, v in digest(spark, rows, 3, 50).items()} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
+
+
+def test_blank_lines_do_not_end_a_run(spark):
+    text = "one\n\ntwo\n \nthree\n\nfour"
+    rows = [(1, text), (2, text), (3, "head\n\n" + text.replace("\n\n", "\n\n\n") + "\n\ntail")]
+    assert {k: v[:3] for k, v in digest(spark, rows, 3, 50).items()} == {1: (7, 0, 0), 2: (7, 7, 1), 3: (13, 9, 1)}
