@@ -450,6 +450,15 @@ def tag_listed(spark, d):
     return tags.tag_listed(e, t(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id")), "user_id", "l", "NEG").select("user_id", F.array_join("l", ";").alias("tags"))
 
 
+@query("""
+WITH e AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS l FROM events GROUP BY 1)
+SELECT user_id, array_to_string(CASE WHEN list_contains(l, 'NEG') OR user_id NOT IN (SELECT s_suppkey FROM supplier) THEN l ELSE list_append(l, 'NEG') END, ';') AS tags FROM e""")
+def tag_listed_all(spark, d):
+    """tag_listed over all events."""
+    e = t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("l"))
+    return tags.tag_listed(e, t(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id")), "user_id", "l", "NEG").select("user_id", F.array_join("l", ";").alias("tags"))
+
+
 @query("SELECT n.n_name AS name, r.r_name AS parent_name FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey UNION ALL SELECT r_name, NULL FROM region")
 def collection_hierarchy(spark, d):
     n = t(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("name"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parentCollection"))
@@ -559,6 +568,24 @@ def fleiss_kappa(spark, d):
     return agreement.fleiss(rated(spark, d), ["dim"]).select("dim", "n_subjects", "n_raters", F.round("kappa", 9).alias("kappa"))
 
 
+@query("""
+WITH e AS (SELECT user_id AS url, hour(ts) AS annotator, list_sort(list_distinct(list('TYPE:' || event_type))) AS l FROM events GROUP BY 1, 2),
+g AS (SELECT url, annotator, coalesce(array_to_string(l, ';'), 'TYPE:?') AS category FROM (SELECT DISTINCT url FROM e) CROSS JOIN (SELECT unnest(range(24)) AS annotator) LEFT JOIN e USING (url, annotator)),
+r AS (SELECT url % 3 AS dim, url, category, count(*) AS n FROM g GROUP BY 1, 2, 3),
+s AS (SELECT dim, url, sum(n) AS m, sum(n * n) AS sq FROM r GROUP BY 1, 2),
+a AS (SELECT dim, count(*) AS n_subjects, max(m)::BIGINT AS n_raters, min(m) AS m0, avg((sq - m) / (m * (m - 1))) AS p FROM s GROUP BY 1),
+c AS (SELECT dim, sum(c * c) / (sum(c) * sum(c)) AS pe FROM (SELECT dim, category, sum(n)::DOUBLE AS c FROM r GROUP BY 1, 2) GROUP BY 1)
+SELECT dim, n_subjects, n_raters, CASE WHEN m0 = n_raters AND pe < 1 THEN round((p - pe) / (1 - pe), 9) END AS kappa FROM a JOIN c USING (dim)""")
+def fleiss_kappa_all(spark, d):
+    """Kappa over all events: the 24 hours are raters, who give a user all types of that hour; one without events gives TYPE:?."""
+    e = t(spark, d, "events").select(F.lit("x").alias("doc_type"), F.col("user_id").alias("url"), F.hour("ts").alias("annotator"), F.lit("TYPE").alias("dim"), F.concat(F.lit("TYPE:"), "event_type").alias("tag"))
+    cats = e.groupBy("doc_type", "url", "annotator", "dim").agg(F.array_join(F.array_sort(F.collect_set("tag")), ";").alias("category"))
+    raters = e.select("doc_type", "url").distinct().withColumn("annotator", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    whole = agreement.dense(cats, raters, e.select("doc_type", "dim").distinct())
+    rows = agreement.contingency(whole.select((F.col("url") % 3).alias("k"), "url", "category"), ["k"])
+    return agreement.fleiss(rows, ["k"]).select(F.col("k").alias("dim"), "n_subjects", "n_raters", F.round("kappa", 9).alias("kappa"))
+
+
 @query("""
 WITH p AS (SELECT source, quality AS a, toxic AS b FROM documents JOIN labels USING (doc_id)),
 n AS (SELECT source, count(*) AS n, avg((a = b)::INT) AS po, (sum(a)::DOUBLE * sum(b) + sum(1 - a)::DOUBLE * sum(1 - b)) / (count(*)::DOUBLE * count(*)) AS pe FROM p GROUP BY 1)
