@@ -30,10 +30,11 @@ def rake(docs: DataFrame, item: str, text: str, stopwords: list[str] = STOPWORDS
     return each.select(item, "term", "word").join(score, [item, "word"]).groupBy(item, "term").agg(F.sum("s").alias("score"))
 
 
-def top_terms(terms: DataFrame, item: str, n: int = 50, ascending: bool = False) -> DataFrame:
-    """Each document's n best terms, ties by the term (O3)."""
+def top_terms(terms: DataFrame, item: str, n: int | None = 50, ascending: bool = False) -> DataFrame:
+    """Each document's n best terms, ties by the term (O3); all of them, ranked, if n is None."""
     order = [F.col("score").asc() if ascending else F.col("score").desc(), F.col("term")]
-    return terms.withColumn("rank", F.row_number().over(Window.partitionBy(item).orderBy(*order))).where(F.col("rank") <= n)
+    ranked = terms.withColumn("rank", F.row_number().over(Window.partitionBy(item).orderBy(*order)))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
 def global_terms(terms: DataFrame) -> DataFrame:
@@ -44,22 +45,29 @@ def global_terms(terms: DataFrame) -> DataFrame:
 
 def textrank(docs: DataFrame, item: str, text: str, window: int = 2, rounds: int = 10, damping: float = 0.85, stopwords: list[str] = STOPWORDS) -> DataFrame:
     """(item, term, score): PageRank over the words of each document, linked where they are less than `window` words apart (Mihalcea and
-    Tarau, 2004). A fixed number of rounds, each one join and one sum by (document, word); the graph is written once to the
-    session's checkpoint folder, if it has one."""
+    Tarau, 2004). A fixed number of rounds; what is missing to the limit falls by `damping` a round (100 rounds: below 1e-6). A
+    document's graph is one row, so no round shuffles anything."""
     words = F.filter(F.split(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}\s]+", " "), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(stopwords))
     seq = docs.select(item, words.alias("w"))
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window - 1)), lambda d: F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - d, F.lit(0))), F.slice("w", d + 1, F.greatest(F.size("w") - d, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
     e = seq.select(item, F.explode(pairs).alias("p")).select(item, "p.a", "p.b").where("a <> b")
     e = e.unionByName(e.select(item, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    if docs.sparkSession.conf.get("spark.checkpoint.dir", None):
-        e = e.checkpoint()
-    out = e.groupBy(item, "a").agg(F.count("*").alias("deg"))
-    rank = out.select(item, F.col("a").alias("term"), F.lit(1.0).alias("score"))
-    linked = e.join(out, [item, "a"])
-    for _ in range(rounds):
-        given = linked.join(rank.withColumnRenamed("term", "a"), [item, "a"]).groupBy(item, F.col("b").alias("term")).agg(F.sum(F.col("score") / F.col("deg")).alias("s"))
-        rank = given.select(item, "term", (F.lit(1 - damping) + F.lit(damping) * F.col("s")).alias("score"))
-    return rank
+    near = e.groupBy(item, "a").agg(F.array_sort(F.collect_list("b")).alias("near"))
+    g = near.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("a", "near"))).alias("g"))
+    g = g.select(item, F.transform("g", lambda x: x["a"]).alias("terms"), F.transform("g", lambda x: x["near"]).alias("near"))
+    place = F.map_from_arrays("terms", F.sequence(F.lit(0), F.size("terms") - 1))
+    g = g.withColumn("place", place)
+    g = g.select(item, "terms", F.transform("near", lambda x: F.transform(x, lambda b: F.element_at("place", b))).alias("near"))
+    g = g.select(item, "terms", "near", F.transform("near", lambda x: F.size(x).cast("double")).alias("deg"))
+
+    def turn(scores: Column, _: Column) -> Column:
+        given = F.zip_with(scores, "deg", lambda s, n: s / n)
+        # an array of one struct holds what is given, so that it is computed once a round
+        whole = F.transform(F.array(F.struct(given.alias("x"))), lambda one: F.transform("near", lambda to: F.aggregate(to, F.lit(0.0), lambda acc, j: acc + F.get(one["x"], j))))
+        return F.transform(F.get(whole, F.lit(0)), lambda v: F.lit(1 - damping) + F.lit(damping) * v)
+
+    scores = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.transform("terms", lambda _: F.lit(1.0)), turn) if rounds else F.transform("terms", lambda _: F.lit(1.0))
+    return g.select(item, F.explode(F.arrays_zip(F.col("terms").alias("term"), scores.alias("score"))).alias("x")).select(item, "x.term", "x.score")
 
 
 def yake(docs: DataFrame, item: str, text: str, n: int = 50, stopwords: list[str] = STOPWORDS) -> DataFrame:

@@ -652,7 +652,7 @@ def top_terms(spark, d):
 
 @query()
 def textrank_terms(spark, d):
-    return text.top_terms(text.textrank(t(spark, d, "benchmark"), "item_id", "text", rounds=5), "item_id", 10)
+    return text.top_terms(text.textrank(t(spark, d, "benchmark"), "item_id", "text", rounds=100), "item_id", None)
 
 
 @query()

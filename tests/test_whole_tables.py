@@ -24,3 +24,30 @@ def test_every_event_counts(spark, tmp_path):
     kappa = [plain.QUERIES["fleiss_kappa_all"](spark, str(tmp_path / x)).collect()[0] for x in "ab"]
     assert kappa[0].n_raters == kappa[1].n_raters == 24 and kappa[0].kappa != kappa[1].kappa
     assert {r.user_id: r.tags for r in plain.QUERIES["tag_listed_all"](spark, str(tmp_path / "b")).collect()} == {3: "late;view", 6: "view"}
+
+
+def page_rank(words):
+    near = defaultdict(set)
+    for a, b in zip(words, words[1:], strict=False):
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    score = dict.fromkeys(near, 1.0)
+    while True:
+        new = {w: 0.15 + 0.85 * sum(score[x] / len(near[x]) for x in near[w]) for w in near}
+        if max(abs(new[w] - score[w]) for w in near) < 1e-13:
+            return new
+        score = new
+
+
+def test_textrank_is_page_rank(spark, tmp_path):
+    rng = random.Random(3)
+    names = [f"word{k}" for k in range(40)]
+    docs = {k: [rng.choice(names) for _ in range(n)] for k, n in enumerate((5, 30, 90))}
+    spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = defaultdict(dict)
+    for r in plain.QUERIES["textrank_terms"](spark, str(tmp_path)).collect():
+        got[r.item_id][r.term] = r.score
+    for k, words in docs.items():
+        want = page_rank(words)
+        assert set(got[k]) == set(want) and all(abs(got[k][w] - want[w]) < 1e-5 for w in want)
