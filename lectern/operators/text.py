@@ -70,9 +70,12 @@ def textrank(docs: DataFrame, item: str, text: str, window: int = 2, rounds: int
     return g.select(item, F.explode(F.arrays_zip(F.col("terms").alias("term"), scores.alias("score"))).alias("x")).select(item, "x.term", "x.score")
 
 
-def yake(docs: DataFrame, item: str, text: str, n: int = 50, stopwords: list[str] = STOPWORDS) -> DataFrame:
-    """(item, term, score): single-word statistical features, lower is better (after Campos et al., 2020): casing, position of the
-    sentences, frequency, relatedness to different neighbours, spread over sentences. One vectorised pass, document by document."""
+def yake(docs: DataFrame, item: str, text: str, n: int = 50, stopwords: list[str] = STOPWORDS, size: int = 3) -> DataFrame:
+    """(item, term, score): candidates of one to `size` words, lower is better (after Campos et al., 2020). A word's score is made of
+    casing, position of the sentences, frequency, relatedness to different neighbours, spread over sentences; a candidate's is the
+    product of its words' over its frequency times one plus their sum. Candidates are runs of words without punctuation that neither
+    begin nor end with a stop word; one within counts by how often it stands between its neighbours. Similar candidates all stay.
+    One vectorised pass, document by document."""
     kind = docs.schema[item].dataType.simpleString()
 
     def run(frames):
@@ -86,7 +89,8 @@ def yake(docs: DataFrame, item: str, text: str, n: int = 50, stopwords: list[str
         for frame in frames:
             rows = []
             for key, body in zip(frame[item], frame[text], strict=True):
-                sentences = [re.findall(r"\w+", s) for s in re.split(r"[.!?\n]+", body or "")]
+                chunks = [[re.findall(r"\w+", c) for c in re.split(r"[^\w\s'’-]+", s)] for s in re.split(r"[.!?\n]+", body or "")]
+                sentences = [sum(s, []) for s in chunks]
                 sentences = [s for s in sentences if s]
                 tf, caps, where, left, right = Counter(), Counter(), defaultdict(list), defaultdict(Counter), defaultdict(Counter)
                 for k, s in enumerate(sentences):
@@ -103,7 +107,7 @@ def yake(docs: DataFrame, item: str, text: str, n: int = 50, stopwords: list[str
                     continue
                 counts = [tf[w] for w in words]
                 mean, sd, most = statistics.fmean(counts), statistics.pstdev(counts), max(tf.values())
-                found = []
+                single = {}
                 for w in words:
                     case = caps[w] / (1 + math.log(tf[w]))
                     position = math.log(math.log(3 + statistics.median(where[w])))
@@ -111,7 +115,26 @@ def yake(docs: DataFrame, item: str, text: str, n: int = 50, stopwords: list[str
                     spread = len(set(where[w])) / len(sentences)
                     apart = sum(len(side[w]) / max(1, sum(side[w].values())) for side in (left, right))
                     related = 1 + apart * tf[w] / most
-                    found.append((related * position / (case + frequency / related + spread / related), w))
+                    single[w] = related * position / (case + frequency / related + spread / related)
+                times = Counter()
+                for c in (c for s in chunks for c in s):
+                    c = [w.lower() for w in c]
+                    times.update(tuple(c[j : j + k]) for k in range(1, size + 1) for j in range(len(c) - k + 1) if c[j] in single and c[j + k - 1] in single)
+                found = []
+                for run_, count in times.items():
+                    if len(run_) == 1:
+                        found.append((single[run_[0]], run_[0]))
+                        continue
+                    product, total = 1.0, 0.0
+                    for j, w in enumerate(run_):
+                        if w in single:
+                            product *= single[w]
+                            total += single[w]
+                        else:  # 1 - P(before, w) P(w, after)
+                            chance = 1 - right[run_[j - 1]][w] / tf[run_[j - 1]] * right[w][run_[j + 1]] / tf[run_[j + 1]]
+                            product *= 1 + chance
+                            total -= chance
+                    found.append((product / (count * (1 + total)), " ".join(run_)))
                 rows += [(key, w, s) for s, w in sorted(found)[:n]]
             yield pd.DataFrame(rows, columns=[item, "term", "score"])
 

@@ -4,7 +4,7 @@ import datetime
 import math
 import random
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 from lectern.operators import text
 from lectern.plans import queries as plain
@@ -51,3 +51,15 @@ def test_textrank_is_page_rank(spark, tmp_path):
     for k, words in docs.items():
         want = page_rank(words)
         assert set(got[k]) == set(want) and all(abs(got[k][w] - want[w]) < 1e-5 for w in want)
+
+
+def test_yake_has_phrases(spark):
+    body = "Deep neural network. The deep neural network, state of art methods. Network of networks"
+    got = {r.term: r.score for r in text.yake(spark.createDataFrame([(1, body)], "d long, t string"), "d", "t").collect()}
+    want, stop = set(), text.STOPWORDS
+    for part in re.split(r"[.,]", body.lower()):
+        w = part.split()
+        want |= {" ".join(w[j : j + k]) for k in (1, 2, 3) for j in range(len(w) - k + 1) if all(x not in stop and len(x) > 2 for x in (w[j], w[j + k - 1]))}
+    assert set(got) == want and "deep neural network" in want and "state of art" in want and "network state" not in want
+    s = [got[w] for w in ("deep", "neural", "network")]  # the phrase stands twice
+    assert math.isclose(got["deep neural network"], math.prod(s) / (2 * (1 + sum(s))))
