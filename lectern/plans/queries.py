@@ -359,6 +359,15 @@ def fuzzy_title(spark, d):
     return match.fuzzy_pairs(t(spark, d, "supplier").select("s_suppkey", digits("s_name").alias("k")), t(spark, d, "customer").select("c_custkey", digits("c_name").alias("k")), "s_suppkey", "k", "c_custkey", "k")
 
 
+@query("""
+WITH a AS (SELECT s_suppkey, regexp_replace(s_name, '[^0-9]', '', 'g') AS k FROM supplier), b AS (SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '', 'g') AS k FROM customer)
+SELECT s_suppkey, c_custkey FROM a, b WHERE damerau_levenshtein(a.k, b.k) < 2""")
+def fuzzy_title_whole(spark, d):
+    """fuzzy_title over all digits."""
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    return match.fuzzy_pairs(t(spark, d, "supplier").select("s_suppkey", digits("s_name").alias("k")), t(spark, d, "customer").select("c_custkey", digits("c_name").alias("k")), "s_suppkey", "k", "c_custkey", "k")
+
+
 @query("""
 WITH i AS (SELECT s_suppkey AS key, right(s_name, 3) AS title FROM supplier), c AS (SELECT s_suppkey AS key, rank, lpad(CAST((s_suppkey + off) % 1000 AS VARCHAR), 3, '0') AS title, 'd' || rank AS doi FROM supplier, (SELECT unnest([1, 2, 3]) AS rank, unnest([11, 1, 0]) AS off)),
 m AS (SELECT i.key, min(rank) AS rank FROM i JOIN c ON c.key = i.key AND rank <= 2 AND damerau_levenshtein(i.title, c.title) < 2 GROUP BY 1)

@@ -63,3 +63,9 @@ def test_yake_has_phrases(spark):
     assert set(got) == want and "deep neural network" in want and "state of art" in want and "network state" not in want
     s = [got[w] for w in ("deep", "neural", "network")]  # the phrase stands twice
     assert math.isclose(got["deep neural network"], math.prod(s) / (2 * (1 + sum(s))))
+
+
+def test_fuzzy_title_reads_all_digits(spark, tmp_path):
+    spark.createDataFrame([(7, "Supplier#000000007")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, f"Customer#{k:09d}") for k in (7, 8, 1200007)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted(r.c_custkey for r in plain.QUERIES["fuzzy_title_whole"](spark, str(tmp_path)).collect()) == [7, 8]
