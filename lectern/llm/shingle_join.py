@@ -15,12 +15,16 @@ CODE[65:91] = BYTE_CODE[97:123]  # A-Z count as a-z
 WORD = np.uint64(0x9E3779B97F4A7C15)
 SLICE, PACK = 2048, 64
 
-SIGNATURE = [f"s{k}" for k in range(8)]
-
 #: A token that this many sets have, or more, is of the frequent class.
 FREQUENT = 12
 #: Combinations with at most this many sets give all their pairs at once.
 SMALL = 8
+#: The same for combinations that were made longer by a token outside a hub.
+SMALL_LATER = 32
+#: A hot key's rows are dealt to so many tasks.
+SALTS = 16
+#: Tokens that a worker holds at a time.
+HELD = 250_000
 
 
 def sets(column: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -233,25 +237,70 @@ def verified(tables: Tables, made: DataFrame, pairs: DataFrame, num: int, den: i
 
 
 def couples(keyed: DataFrame, key: str, most: int) -> DataFrame:
-    """(u, un, v, vn): all pairs of the nodes of each key; a key has `most` nodes at most."""
-    few = keyed.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("s"))
-    pair = F.flatten(F.transform("s", lambda u, i: F.transform(F.slice("s", i + 2, most), lambda v: F.struct(u["node"].alias("u"), u["n"].alias("un"), v["node"].alias("v"), v["n"].alias("vn")))))
+    """(u, un, v, vn): all pairs of the nodes of each key that are of different components c; a key has `most` nodes at most."""
+    few = keyed.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("node", "n", "c"))).alias("s"))
+    pair = F.flatten(
+        F.transform("s", lambda u, i: F.transform(F.filter(F.slice("s", i + 2, most), lambda v: v["c"] != u["c"]), lambda v: F.struct(u["node"].alias("u"), u["n"].alias("un"), v["node"].alias("v"), v["n"].alias("vn"))))
+    )
     return few.select(F.explode(pair).alias("p")).select("p.*")
 
 
-def signatures(made: DataFrame, heavy: DataFrame) -> DataFrame:
-    """(node, s0 ... s7): for each of 512 classes of tokens whether the set has an odd number of them. Two signatures differ in no more bits than
-    their sets do in tokens, so a pair that differs in too many is not similar enough, for certain."""
+def refined(tables: Tables, made: DataFrame, members: DataFrame, hubs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Longer combinations for the nodes (g, node, n, q) of groups, hubs being (g, hub, hn, least: the smallest n in the group), and the links (u, v)
+    of nodes with their group's hub. A new key (key, node, n, q) is a group and a token outside its hub, or one that a set lacks of it.
 
-    def run(batches):
-        for batch in batches:
-            rows = np.zeros((batch.num_rows, 8), np.int64)
-            for k, s in enumerate(batch.column(1).to_pylist()):
-                odd = np.bincount((mix(np.frombuffer(s, np.uint64)) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
-                rows[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, k]) for k in range(8))], ["node", *SIGNATURE])
+    Two sets x, y with x not similar to the hub h: if all that they share is in h, they share no more than x and h do, so that y can be similar to
+    x only if y is smaller than h. So (1) of the tokens outside h, x and y share at least `need`, which follows from the sizes; by the usual
+    prefix rule x leaves out need - 1 of them and y as many as its own need says, none if it is linked to h. (2) Where need may be below 1 (x nearly similar to h, y smaller
+    than h), and all that they share is in h, y lacks at most num (hn - yn) / (num + den) tokens of h that x has, so of one more than that of the tokens that y
+    lacks x lacks one, too. If both are similar to h, they are linked to it. So each similar pair meets in a new key or in the hub."""
 
-    return made.join(heavy, "node", "left_semi").mapInArrow(run, "node long, " + ", ".join(f"{c} long" for c in SIGNATURE)).distinct()
+    def step(batches):
+        for batch in batches:
+            key, nodes, sizes, shares, links = [], [], [], [], []
+            for g, node, n, q, hub, hn, least, s, t in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+                if node == hub:
+                    continue
+                x, h = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                inside = h[np.minimum(np.searchsorted(h, x), len(h) - 1)] == x
+                o = int(inside.sum())
+                near = (den + num) * o >= num * (n + hn)
+                least = max(least, -(-n * num // den))
+                need = 1 if near else -(-num * (n + least) // (num + den)) - o
+                more = x[~inside]
+                tokens = [mix(more[: len(more) - max(need, 1) + 1] + np.uint64(g & (1 << 64) - 1))]
+                band = not near and need < 1
+                if band or n < hn:
+                    lacks = h[~(x[np.minimum(np.searchsorted(x, h), len(x) - 1)] == h)]
+                    if not band:
+                        some = num * (hn - n) // (num + den) + 1
+                        lacks = lacks[np.argsort(mix(lacks + np.uint64(node & (1 << 64) - 1)))[:some]]
+                    tokens.append(mix(mix(lacks + np.uint64(g & (1 << 64) - 1)) + WORD))
+                got = np.concatenate(tokens).view(np.int64)
+                key.append(got)
+                nodes.append(np.full(len(got), node))
+                sizes.append(np.full(len(got), n))
+                shares.append(np.full(len(got), q))
+                if near:
+                    links.append((hub, node))
+            if key:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (key, nodes, sizes, shares)] + [pa.array(np.zeros(sum(map(len, key)), bool))], ["key", "node", "n", "q", "near"])
+            if links:
+                link = np.array(links, np.int64)
+                zero = pa.array(np.zeros(len(link), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(link[:, 0]), pa.array(link[:, 1]), zero, zero, pa.array(np.ones(len(link), bool))], ["key", "node", "n", "q", "near"])
+
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")
+    spread = hubs.join(made.toDF("hub", "t"), "hub").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
+    rows = members.join(made, "node").select("*", salt).join(spread, ["g", "salt"]).select("g", "node", "n", "q", "hub", "hn", "least", "s", "t")
+    out = tables.put("refined", rows.mapInArrow(step, "key long, node long, n long, q long, near boolean"))
+    return out.where("not near").drop("near"), out.where("near").select(F.least("key", "node").alias("u"), F.greatest("key", "node").alias("v"))
+
+
+def counted_keys(tables: Tables, keys: DataFrame) -> DataFrame:
+    """The keys that more than one node has, with `many`, their number of nodes, and `head`, the node of which others have most."""
+    stats = keys.groupBy("key").agg(F.count("*").alias("many"), F.max(F.struct("q", "node", "n")).alias("head")).where("many > 1")
+    return tables.put("keyed", keys.join(stats, "key"))
 
 
 def heavy_keys(made: DataFrame, heavy: DataFrame, tables: Tables, num: int, den: int, parts: int) -> DataFrame:
@@ -268,10 +317,21 @@ def heavy_keys(made: DataFrame, heavy: DataFrame, tables: Tables, num: int, den:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, size)), pa.array(np.repeat(size, size)), pa.array(token)], ["node", "n", "token"])
 
     def prefix(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= HELD:  # all nodes but the last are complete
+                t = pa.Table.from_batches(held)
+                cut = int(np.searchsorted(t["node"].to_numpy(), t["node"][-1].as_py()))
+                if cut:
+                    yield from some(t.slice(0, cut))
+                rest = t.slice(cut)
+                held, size = rest.to_batches(), rest.num_rows
+        if size:
+            yield from some(pa.Table.from_batches(held))
+
+    def some(t):
         node, n, token, df = (t[c].to_numpy() for c in ("node", "n", "token", "df"))
         order = np.lexsort((token, df, node))
         node, n, token, df = node[order], n[order], token[order], df[order]
@@ -296,10 +356,22 @@ def heavy_keys(made: DataFrame, heavy: DataFrame, tables: Tables, num: int, den:
 
     tokens = tables.put("tokens", made.join(heavy, "node", "left_semi").mapInArrow(spread, "node long, n long, token long").distinct())
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    counted = tokens.join(df, "token").select("node", "n", "token", "df").repartition(parts, "node")
+    parts = max(parts, tokens.count() // 1_000_000)
+    counted = tokens.join(df, "token").select("node", "n", "token", "df").repartition(parts, "node").sortWithinPartitions("node")
     return tables.put("keys", counted.mapInArrow(prefix, "key long, node long, n long, q long"))
 
 
+def with_hubs(tables: Tables, keyed: DataFrame, small: int, pairs: DataFrame | None, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) to verify, beside those given: all pairs of keys of at most `small` nodes, and of other keys those with the head."""
+    stars = keyed.where(f"many > {small} and node <> head.node").select(F.col("head.node").alias("u"), F.col("head.n").alias("un"), F.col("node").alias("v"), F.col("n").alias("vn"))
+    more = couples(keyed.where(f"many <= {small}"), "key", small).unionByName(stars).where(fits("un", "vn", num, den)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return tables.put("pairs", (more if pairs is None else pairs.unionByName(more)).distinct())
+
+
+def fits(x: str, y: str, num: int, den: int):
+    return F.least(x, y) * den >= F.greatest(x, y) * num
+
+
 def links(documents: DataFrame, tables: Tables, words: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sizes and fingerprints of all rows, and the links (x, y) between the smallest ids of linked classes of equal sets. Every link
     between classes is in the closure of these: a pair is left out only if other links join its classes already."""
@@ -312,13 +384,10 @@ def links(documents: DataFrame, tables: Tables, words: int, num: int, den: int,
     buckets = max(64, 4 * parts, int(volume // 1_000_000))
     post = tables.put("postings", postings(known, words, num, den, buckets, text_col))
 
-    def fits(x: str, y: str):
-        return F.least(x, y) * den >= F.greatest(x, y) * num
-
     # rare tokens: all pairs of a token's few sets. Similar sets share so many tokens of their extended prefixes that the rare ones
     # they share and all their frequent ones can't be fewer
     rare = post.where("not frequent")
-    shared = tables.put("shared", couples(rare, "token", FREQUENT).where(fits("un", "vn")).groupBy("u", "v", "un", "vn").agg(F.count("*").alias("c")))
+    shared = tables.put("shared", couples(rare.withColumn("c", F.col("node")), "token", FREQUENT).where(fits("un", "vn", num, den)).groupBy("u", "v", "un", "vn").agg(F.count("*").alias("c")))
     often = tables.put("often", post.where("frequent").groupBy("node", "n").agg(F.countDistinct("token").alias("f")))
     f = often.select("node", "f")
     joined = shared.join(f.toDF("u", "uf"), "u", "left").join(f.toDF("v", "vf"), "v", "left")
@@ -330,27 +399,31 @@ def links(documents: DataFrame, tables: Tables, words: int, num: int, den: int,
     heavy = tables.put("heavy", often.where(F.col("f") >= F.least(F.greatest(F.lit(16), F.floor(less / 16)) + 1, F.ceil(F.col("n") * num / den))).select("node"))
     nodes = pairs.select(F.col("u").alias("a")).unionByName(pairs.select(F.col("v").alias("a"))).unionByName(heavy.select(F.col("node").alias("a"))).distinct()
     made = set_table(documents, tables, classes, nodes, words, id_col, text_col)
-    keys = heavy_keys(made, heavy, tables, num, den, parts)
-    stats = keys.groupBy("key").agg(F.count("*").alias("many"), F.max(F.struct("q", "node", "n")).alias("head")).where("many > 1")
-    keyed = tables.put("keyed", keys.join(stats, "key"))
-    stars = keyed.where(f"many > {SMALL} and node <> head.node").select(F.col("head.node").alias("u"), F.col("head.n").alias("un"), F.col("node").alias("v"), F.col("n").alias("vn"))
-    more = couples(keyed.where(f"many <= {SMALL}"), "key", SMALL).unionByName(stars).where(fits("un", "vn"))
-    pairs = tables.put("pairs", pairs.unionByName(more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct())
-    found = verified(tables, made, pairs, num, den)
-    # combinations of many sets: what the star did not join is compared pair by pair
-    big = keyed.where(f"many > {SMALL}").select("key", "node", "n")
-    if big.limit(1).count():
+    keyed = counted_keys(tables, heavy_keys(made, heavy, tables, num, den, parts))
+    found, small = verified(tables, made, with_hubs(tables, keyed.withColumn("c", F.col("node")), SMALL, pairs, num, den), num, den), SMALL
+    big = keyed.where(f"many > {small}")
+    first = True
+    while big.limit(1).count():  # combinations of many sets that their hub did not join: their sets meet by longer combinations
+        big = big.select("key", "node", "n", "q", "head")
         named = tables.put("named", connected_components(tables, found.select(F.col("u").alias("a"), F.col("v").alias("b")), "inner"))
-        placed = big.join(named, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-        open_ = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-        left = placed.join(open_, "key").distinct().join(signatures(made, heavy), "node")
-        left = tables.put("open", left)
-        x, y = left.select("key", *[F.col(c).alias(f"u{c}") for c in ("node", "n", "c", *SIGNATURE)]), left.select("key", *[F.col(c).alias(f"v{c}") for c in ("node", "n", "c", *SIGNATURE)])
-        differ = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in SIGNATURE), F.lit(0))
-        near = differ * (den + num) <= (F.col("un") + F.col("vn")) * (den - num)
-        rest = x.join(y, "key").where((F.col("unode") < F.col("vnode")) & (F.col("uc") != F.col("vc")) & fits("un", "vn") & near).select(F.col("unode").alias("u"), F.col("vnode").alias("v")).distinct()
-        rest = tables.put("rest", rest.join(pairs, ["u", "v"], "left_anti"))
-        found = found.unionByName(verified(tables, made, rest, num, den))
+        placed = tables.put("placed", big.join(named, "node", "left").select("*", F.coalesce("component", "node").alias("c")).drop("component"))
+        count = placed.groupBy("key", "c").agg(F.count("*").alias("m"), F.max("head").alias("head"))
+        open_ = count.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("most"), F.max("head").alias("head")).where("parts > 1")
+        if first:  # one group for all keys of which most sets are of one component, around the set of it of which others have most
+            centre = placed.groupBy("c").agg(F.max(F.struct("q", "node", "n")).alias("centre"))
+            group = open_.select("key", F.col("most.c").alias("c")).join(centre, "c").select("key", F.col("centre.node").alias("g"), F.col("centre.node").alias("hub"), F.col("centre.n").alias("hn"))
+        else:  # a key is its own group, and its hub is in it, so that the sets of a key get fewer with each step
+            group = open_.select("key", F.col("key").alias("g"), F.col("head.node").alias("hub"), F.col("head.n").alias("hn"))
+        group = tables.put("group", group)
+        members = tables.put("members", placed.select("key", "node", "n", "q").join(group.select("key", "g"), "key").select("g", "node", "n", "q").distinct())
+        hubs = group.drop("key").distinct().join(members.groupBy("g").agg(F.min("n").alias("least")), "g")
+        keys, near = refined(tables, made, members, hubs, num, den)
+        keyed = counted_keys(tables, keys)
+        small, first = SMALL_LATER, False
+        placed = keyed.join(named, "node", "left").select("*", F.coalesce("component", "node").alias("c"))
+        more = with_hubs(tables, placed, small, None, num, den).join(pairs, ["u", "v"], "left_anti")
+        found = tables.put("found", found.unionByName(near).unionByName(verified(tables, made, more, num, den)).distinct())
+        big = keyed.where(f"many > {small}")
     name = classes.select(F.col("a").alias("node"), "first")
     out = found.join(name.toDF("u", "x"), "u").join(name.toDF("v", "y"), "v").select("x", "y").where("x <> y").distinct()
     return rows, tables.put("links", out)
@@ -366,10 +439,14 @@ def near_groups(documents: DataFrame, words: int = 5, num: int = 75, den: int =
     documents = documents.select(id_col, text_col)
     rows, found = links(documents, tables, words, num, den, id_col, text_col)
     comps = connected_components(tables, found.select(F.col("x").alias("a"), F.col("y").alias("b")), "outer").withColumnRenamed("node", "first")
-    classes = rows.where("n > 0 and d is not null").groupBy("a", "b", "n").agg(F.min("d").alias("first"))
+    # a class with very many rows is dealt to SALTS tasks
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("d", F.lit(3)), F.lit(SALTS)))
+    dealt = tables.put("dealt", rows.where("n > 0 and d is not null").groupBy("a", "b", "n", "salt").agg(F.min("d").alias("first")))
+    classes = dealt.groupBy("a", "b", "n").agg(F.min("first").alias("first"))
     named = classes.join(comps, "first", "left").select("a", "b", "n", F.coalesce("component", "first").alias("component_id"))
+    named = tables.put("classes", dealt.select("a", "b", "n", "salt").join(named, ["a", "b", "n"]))
     # rows with one id unite the classes they are in
-    out = rows.join(named, ["a", "b", "n"], "left").select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component_id", "d")).alias("component_id"))
+    out = rows.join(named, ["a", "b", "n", "salt"], "left").select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component_id", "d")).alias("component_id"))
     out = tables.put("out", out)
-    tables.drop("postings", "shared", "often", "heavy", "sets", "tokens", "keys", "keyed", "pairs", "named", "open", "rest", "found", "links", "prints", "inner-edges", "outer-edges")
+    tables.drop("postings", "shared", "often", "heavy", "sets", "tokens", "keys", "keyed", "pairs", "named", "placed", "group", "members", "refined", "found", "dealt", "classes", "links", "prints", "inner-edges", "outer-edges")
     return out

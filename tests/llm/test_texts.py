@@ -1,6 +1,7 @@
 """Operators on texts against brute force."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -152,11 +153,31 @@ def test_shingle_join_classes(spark, corpus, monkeypatch, frequent, small, num):
     """Whatever counts as frequent, and with more than one task of edges, the groups are the same."""
     monkeypatch.setattr(shingle_join, "FREQUENT", frequent)
     monkeypatch.setattr(shingle_join, "SMALL", small)
+    monkeypatch.setattr(shingle_join, "HELD", 50)
     monkeypatch.setattr(common, "EDGES_A_TASK", 7)
     rows = corpus[::2]
     assert groups_of(spark.createDataFrame(rows, SCHEMA).repartition(3), num=num) == brute_groups(rows, num)
 
 
+@pytest.mark.parametrize("seed,small", [(1, 3), (2, 8)])
+def test_shingle_join_of_families(spark, monkeypatch, seed, small):
+    """Copies of copies with words changed, put in and taken out, so that many pairs are just similar enough or just not: what the hubs
+    leave out is never a link."""
+    monkeypatch.setattr(shingle_join, "FREQUENT", 3)
+    monkeypatch.setattr(shingle_join, "SMALL", small)
+    monkeypatch.setattr(shingle_join, "SMALL_LATER", 2 * small)
+    rng = random.Random(seed)
+    family = [[f"w{k}" for k in range(70)]]
+    for _ in range(160):
+        t = family[rng.randrange(1 + len(family) // 3)][:]
+        for _ in range(rng.randint(1, 5)):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = [[f"x{rng.randrange(900)}"], [t[k], f"y{rng.randrange(9)}"], []][rng.randrange(3)]
+        family.append(t)
+    rows = list(enumerate(" ".join(t) for t in family))
+    assert groups_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute_groups(rows)
+
+
 def test_shingle_join_odd_rows(spark):
     got = sorted(((r.doc_id or -1), r.n_shingles, r.component_id) for r in shingle_join.near_groups(odd(spark)).collect())
     assert got == [(-1, 1, None), (1, 1, 1), (1, 1, 1), (2, 0, 2), (3, 0, 3)]
