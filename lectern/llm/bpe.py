@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from functools import lru_cache
@@ -130,8 +131,47 @@ def merge_all(table: PairTable, symbols: np.ndarray, length: np.ndarray) -> tupl
     return flat, out_len
 
 
+#: A word of more symbols is merged by itself, with a heap.
+LONG = 256
+
+
+def merge_long(symbols: list, join) -> list:
+    """The symbols of one word after all merges, lowest rank first and leftmost among equals, in n log n time. join(a, b): (rank, product) of two
+    neighbours, or None. The heap holds (rank, begin) as one number; one whose neighbours have changed since is passed over."""
+    s, n = symbols[:], len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank, made = [-1] * n, [None] * n
+    heap = []
+
+    def look(i: int) -> None:
+        got = join(s[i], s[after[i]])
+        if got is None:
+            rank[i] = -1
+        else:
+            rank[i], made[i] = got
+            heapq.heappush(heap, rank[i] << 32 | i)
+
+    for i in range(n - 1):
+        look(i)
+    while heap:
+        top = heapq.heappop(heap)
+        i = top & 0xFFFFFFFF
+        if rank[i] != top >> 32:
+            continue
+        s[i], j = made[i], after[i]
+        s[j], rank[i], rank[j] = None, -1, -1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            look(i)
+        if before[i] >= 0:
+            look(before[i])
+    return [x for x in s if x is not None]
+
+
 class Merger:
-    """Merges of a byte-level vocabulary for many pre-tokens at once; pre-tokens of similar length advance together."""
+    """Merges of a byte-level vocabulary for many pre-tokens at once; pre-tokens of similar length advance together, and those of over LONG
+    bytes are merged one by one."""
 
     def __init__(self, text: str):
         model = json.loads(text)["model"]
@@ -143,6 +183,17 @@ class Merger:
         self.table = PairTable(*(np.array(x, np.int64) for x in zip(*((vocab[a], vocab[b], k, vocab[a + b]) for k, (a, b) in enumerate(pairs)), strict=True)))
         self.one = np.array([vocab[self.byte[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[self.byte[b] + self.suffix] for b in range(256)], np.int64)
+        self.pair: dict[tuple, tuple] = {}
+        self.rules = pairs
+
+    def long(self, word: np.ndarray) -> list[int]:
+        """The ids of one long pre-token."""
+        if not self.pair:
+            v = self.vocab
+            self.pair = {(v[a], v[b]): (k, v[a + b]) for k, (a, b) in enumerate(self.rules)}
+        s = self.one[word].tolist()
+        s[-1] = int(self.last[word[-1]])
+        return merge_long(s, lambda a, b: self.pair.get((a, b)))
 
     def merge(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of each pre-token's."""
@@ -151,7 +202,11 @@ class Merger:
         start = np.cumsum(n) - n
         count, got = np.zeros(len(n), np.int64), []
         low = 0
-        for high in (2, 4, 6, 8, 10, 12, 15, 19, 24, 32, 64, 256, 1 << 40):
+        for j in np.flatnonzero(n > LONG).tolist():
+            ids = np.array(self.long(body[start[j] : start[j] + n[j]]), np.uint32)
+            count[j] = len(ids)
+            got.append((np.array([j]), ids, count[j : j + 1]))
+        for high in (2, 4, 6, 8, 10, 12, 15, 19, 24, 32, 64, LONG):
             k = np.flatnonzero((n > low) & (n <= high))
             low = high
             step = max(1, 200_000 // int(min(high, n.max(initial=1))))

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .bpe import LONG, merge_long
 from .common import BASE, BASE_INVERSE, Known, hashed_words, mix, powers, utf8
 
 UNIGRAM, BPE = 1, 2  # model types, and below piece types, of the published file format
@@ -93,6 +94,9 @@ class Coder:
         self.bytes = np.zeros(256, np.int64)
         for k in np.flatnonzero(v.types == BYTE):
             self.bytes[int(v.pieces[k][3:5], 16)] = k
+        # for long words: each piece's place in the order of scores, equal scores having equal places
+        place = np.unique(-v.scores[own], return_inverse=True)[1]
+        self.place = {v.pieces[k]: r for k, r in zip(own.tolist(), place.tolist(), strict=True)}
         self.unknown = np.float32(v.scores[own].min() - 10)
         #: a space after another character begins a word, if no piece runs over that place; a character in no longer piece stands alone
         self.words_are_apart = not any(MARK in p.lstrip(MARK) for p in (v.pieces[k] for k in own))
@@ -180,6 +184,17 @@ class Coder:
                 score[r, c] = self.score[self.probe(self.key(run, edge[r, c], edge[r, c + 2], row[r]))]
         return cut
 
+    def merged(self, word: str) -> np.ndarray:
+        """As merges(), for one long word."""
+
+        def join(a: str, b: str):
+            r = self.place.get(a + b)
+            return None if r is None else (r, a + b)
+
+        cut = np.zeros((1, len(word) + 1), bool)
+        cut[0, np.cumsum([0, *map(len, merge_long(list(word), join))])] = True
+        return cut
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and each word's number of them."""
         n = np.fromiter(map(len, words), np.int64, len(words))
@@ -189,13 +204,16 @@ class Coder:
             if not length:
                 continue
             mine = order[np.searchsorted(n[order], length) : np.searchsorted(n[order], length, "right")]
-            if length > 4000:  # longer than the table of powers: by parts that no piece runs over, or else by the library's rule in one row
+            if length >= len(self.power):
                 self.power, self.inverse = powers(BASE, int(length) + 1), powers(BASE_INVERSE, int(length) + 1)
             for a in range(0, len(mine), max(1, 400_000 // int(length))):
                 part = mine[a : a + max(1, 400_000 // int(length))]
                 chars = np.frombuffer("".join([words[k] for k in part]).encode("utf-32-le"), np.uint32).reshape(len(part), -1)
                 run = self.prefixes(chars)
-                cut = self.viterbi(run) if self.v.kind == UNIGRAM else self.merges(run)
+                if self.v.kind == UNIGRAM:
+                    cut = self.viterbi(run)
+                else:
+                    cut = self.merges(run) if length <= LONG else np.concatenate([self.merged(words[k]) for k in part])
                 r, c = np.nonzero(cut[:, :-1])
                 _, e = np.nonzero(cut[:, 1:])
                 at = self.probe(self.key(run, c, e + 1, r))
