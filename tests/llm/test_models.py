@@ -87,11 +87,14 @@ def test_revisits(spark):
         block("revisit", "v4", "https://a.org/x?a=2&b=1", 8, again(""), "WARC-Payload-Digest: sha256:" + __import__("hashlib").sha256(b"two").hexdigest() + "\r\n"),
         block("revisit", "v5", "https://b.org/", 9, again('ETag: "t1"\r\n')),
         block("response", "r3", "https://b.org/", 3, "HTTP/1.1 500 No\r\n\r\n") + block("metadata", "m", "https://b.org/", 3, "x") + b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort",
+        block("revisit", "v6", "https://c.org/", 9, "HTTP/1.1 200 OK\r\nX-Own: yes\r\n\r\n", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Payload-Digest: sha256:two\r\nX-Long: " + "y" * 70000 + "\r\n") + block("response", "r4", "https://c.org/", 2, full("t1", "three"), "WARC-Payload-Digest: sha256:two\r\n"),
+        block("revisit", "v7", "https://c.org/", 9, again('ETag: "t1"\r\n'), "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Payload-Digest: sha256:four\r\n"),
         None, b"", b"junk",
     ]
     df = spark.createDataFrame([(d,) for d in data], "warc binary").repartition(4)
     got = {r.record_id: r for r in warc.resolve_revisits(warc.read_records(df)).collect()}
-    assert {k: (r.state, r.source_id) for k, r in got.items()} == {"v0": ("no response", None), "v1": ("resolved", "r1"), "v2": ("mismatch", None), "v3": ("unverified", None), "v4": ("resolved", "r2"), "v5": ("no response", None)}
+    assert {k: (r.state, r.source_id) for k, r in got.items()} == {"v0": ("no response", None), "v1": ("resolved", "r1"), "v2": ("mismatch", None), "v3": ("unverified", None), "v4": ("resolved", "r2"), "v5": ("no response", None), "v6": ("resolved", "r4"), "v7": ("mismatch", None)}
+    assert got["v6"].headers == {"x-own": "yes"}
     assert got["v1"].headers == {"content-type": "text/html", "etag": 'W/"t1"', "date": "d"}
     assert got["v1"].canonical == "https://a.org/x?a=2&b=1"
 
@@ -104,6 +107,8 @@ def test_revisits_of_one_url_over_many_partitions(spark):
     con.register("pages", pages.toPandas())
     want = con.sql(registry.oracle_sql()["op7_warc_revisits"])
     cols = sorted(want.columns)
+    states = [r.state for r in got.where("record_id like 'urn:again%' and coalesce(substr(source_id, 12) <> substr(record_id, 11), true)").collect()]
+    assert set(states) == {"resolved", "mismatch", "unverified", "no response"}  # by other pages' captures
     assert sorted(tuple(str(r[c]) for c in cols) for r in got.collect()) == sorted(tuple(map(str, r)) for r in want.select(*[f'"{c}"' for c in cols]).fetchall())
     assert warc.revisits_of_pages(spark.createDataFrame([(None, None, None)], pages.schema)).count() == 0
 
