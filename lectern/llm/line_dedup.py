@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Tables
+from .common import Tables, fresh
 
 MIN_LINES = 3
 MIN_WORDS = 50
@@ -56,8 +56,9 @@ def repeated_runs(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str
     if doubled:
         source = source.dropDuplicates(["d", "h"])
     tied = tied_suffixes(tables, source, min_lines)
-    first = tied.groupBy("rank").agg(F.min(F.struct("d", "h", "i")).alias("first"))
-    later = tied.join(first, "rank").where(F.struct("d", "h", "i") != F.col("first")).select("d", "h", "i")
+    # of each interval of the suffix array all but its first position; met by position, not by interval, as one interval may be very large
+    first = tied.groupBy("rank").agg(F.min(F.struct("d", "h", "i")).alias("first")).select("first.*").hint("merge")
+    later = tied.select("d", "h", "i").join(first, ["d", "h", "i"], "left_anti")
     order = Window.partitionBy("d", "h").orderBy("i")
     begins = F.coalesce((F.col("i") > F.lag("i").over(order) + min_lines).cast("int"), F.lit(1))
     runs = later.withColumn("run", begins).withColumn("run", F.sum("run").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -105,23 +106,25 @@ def repeated_passages(documents: DataFrame, min_lines: int = MIN_LINES, min_word
     return out
 
 
-def with_runs(documents: DataFrame, min_lines: int, id_col: str, text_col: str, min_words: int | None = None) -> tuple[DataFrame, Column, Column]:
-    """The documents with a column of runs, the column of their lines and that of the lines kept."""
+def with_runs(documents: DataFrame, min_lines: int, id_col: str, text_col: str, min_words: int | None = None) -> tuple[DataFrame, Column, Column, Column]:
+    """The documents with a column of runs, that column, the column of their lines and that of the lines kept. Internal names differ from all
+    of the documents' columns."""
     found = repeated_runs(documents, min_lines, id_col, text_col) if min_words is None else repeated_passages(documents, min_lines, min_words, id_col, text_col)
-    runs = found.groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_runs"))
-    runs = runs.select(F.col("d").alias("_d"), F.col("h").alias("_h"), "_runs").hint("merge")  # one plan at every size: the runs grow with the corpus
-    joined = documents.join(runs, (documents[id_col] == runs["_d"]) & (F.xxhash64(documents[text_col]) == runs["_h"]), "left")
-    lines = split_lines(documents[text_col])
-    kept = F.when(F.col("_runs").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i < r["stop"]))))
-    return joined, lines, kept
+    runs = found.groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
+    names = fresh(documents.columns, "_d", "_h", "_runs")
+    runs = runs.toDF(*names).hint("merge")  # one plan at every size: the runs grow with the corpus
+    joined = documents.join(runs, (documents[id_col] == runs[names[0]]) & (F.xxhash64(documents[text_col]) == runs[names[1]]), "left")
+    lines, cut = split_lines(documents[text_col]), F.col(names[2])
+    kept = F.when(cut.isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.exists(cut, lambda r: (i >= r["start"]) & (i < r["stop"]))))
+    return joined, cut, lines, kept
 
 
 def dedup_lines(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
-    """The documents with the later copies of repeated line runs deleted from their text; all other columns and rows stay. A text
+    """The documents with the later copies of repeated line runs deleted from their text; all other columns, whatever their names, and rows stay. A text
     without runs stays byte for byte; a text of which all is deleted becomes empty; null ids or texts are left alone. With
     `min_words`, the runs are those of repeated_passages."""
-    joined, _, kept = with_runs(documents, min_lines, id_col, text_col, min_words)
-    text = F.when(F.col("_runs").isNull(), documents[text_col]).otherwise(F.array_join(kept, "\n"))
+    joined, cut, _, kept = with_runs(documents, min_lines, id_col, text_col, min_words)
+    text = F.when(cut.isNull(), documents[text_col]).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[text.alias(c) if c == text_col else documents[c] for c in documents.columns])
 
 
@@ -129,15 +132,14 @@ def line_dedup_digest(documents: DataFrame, min_lines: int = MIN_LINES, id_col:
     """(id, n_lines, n_removed, n_runs, kept_sha256) for each row; a null text has no lines and counts as empty. `min_words` is as in
     dedup_lines."""
     documents = documents.select(id_col, text_col)
-    joined, lines, kept = with_runs(documents, min_lines, id_col, text_col, min_words)
+    joined, cut, lines, kept = with_runs(documents, min_lines, id_col, text_col, min_words)
     zero = F.lit(0).cast(T.LongType())
     total = F.coalesce(F.size(lines).cast("long"), zero)
     total = F.when(documents[text_col].isNull(), zero).otherwise(total)
-    text = F.coalesce(F.when(F.col("_runs").isNull(), documents[text_col]).otherwise(F.array_join(kept, "\n")), F.lit(""))
-    removed = F.coalesce(F.aggregate("_runs", zero, lambda a, r: a + (r["stop"] - r["start"]).cast("long")), zero)
-    return joined.select(documents[id_col], total.alias("n_lines"), removed.alias("n_removed"), F.coalesce(F.size("_runs").cast("long"), zero).alias("_n"), F.sha2(text.cast("binary"), 256).alias("kept_sha256")).select(
-        id_col, "n_lines", "n_removed", F.greatest("_n", zero).alias("n_runs"), "kept_sha256"
-    )
+    text = F.coalesce(F.when(cut.isNull(), documents[text_col]).otherwise(F.array_join(kept, "\n")), F.lit(""))
+    removed = F.coalesce(F.aggregate(cut, zero, lambda a, r: a + (r["stop"] - r["start"]).cast("long")), zero)
+    runs = F.greatest(F.coalesce(F.size(cut).cast("long"), zero), zero)
+    return joined.select(documents[id_col], total.alias("n_lines"), removed.alias("n_removed"), runs.alias("n_runs"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
 
 #: The same rows in DuckDB.

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, Tables, mix, utf8
+from .common import BYTE_CODE, Tables, fresh, mix, utf8
 from .induced import Shard
 
 LENGTH = 100
@@ -253,15 +253,17 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
     return tables.put("spans", got.groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")))
 
 
-def with_spans(documents: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """The documents with a column _spans."""
+def with_spans(documents: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The documents with a column of spans, and its name, which none of theirs has."""
     tables = Tables(documents.sparkSession, "suffixes")
     source = documents.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where(F.col("d").isNotNull() & (F.octet_length("text") >= length))
     if source.groupBy("d", "h").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         source = source.dropDuplicates(["d", "h"])
-    found = removed_spans(source, tables, length).select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("spans").alias("_spans")).hint("merge")
+    names = fresh(documents.columns, "_d", "_h", "_spans")
+    found = removed_spans(source, tables, length).select("d", "h", "spans").toDF(*names).hint("merge")
     tables.drop("anchors")
-    return documents.join(found, (documents[id_col].cast("long") == found["_d"]) & (F.xxhash64(documents[text_col]) == found["_h"]), "left").drop("_d", "_h")
+    joined = documents.join(found, (documents[id_col].cast("long") == found[names[0]]) & (F.xxhash64(documents[text_col]) == found[names[1]]), "left")
+    return joined.drop(*names[:2]), names[2]
 
 
 def cut_out(text: bytes, found: list[dict] | None) -> tuple[bytes, int, int]:
@@ -287,8 +289,8 @@ def suffix_digest(documents: DataFrame, length: int = LENGTH, id_col: str = "doc
             rows = [(len(t), *cut_out(t, s)) for t, s in ((t or b"", s) for t, s in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows], pa.string())], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    got = with_spans(documents.select(id_col, text_col), length, id_col, text_col)
-    return got.select(id_col, text_col, "_spans").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    got, found = with_spans(documents.select(id_col, text_col), length, id_col, text_col)
+    return got.select(id_col, text_col, found).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_bytes(documents: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,5 +303,5 @@ def dedup_bytes(documents: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
         return pd.Series([t if s is None or t is None else cut_out(t.encode(), list(s))[0].decode("utf-8", "ignore") for t, s in zip(texts, found, strict=True)])
 
-    got = with_spans(documents, length, id_col, text_col)
-    return got.select(*[F.when(F.col("_spans").isNull(), F.col(c)).otherwise(cut(c, "_spans")).alias(c) if c == text_col else c for c in documents.columns])
+    got, found = with_spans(documents, length, id_col, text_col)
+    return got.select(*[F.when(F.col(found).isNull(), F.col(c)).otherwise(cut(c, found)).alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns])
