@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, Tables, connected_components, hashed_words, mix, utf8
+from .common import BYTE_CODE, Tables, connected_components, hashed_words, joined, mix, utf8
 
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 CODE = BYTE_CODE.copy()
@@ -21,6 +21,8 @@ FREQUENT = 12
 SMALL = 8
 #: The same for combinations that were made longer by a token outside a hub.
 SMALL_LATER = 32
+#: Groups of at most so many sets, with so many tokens in all, are compared within one task.
+SOLVED, SOLVED_TOKENS = 256, 4_000_000
 #: A hot key's rows are dealt to so many tasks.
 SALTS = 16
 #: Tokens that a worker holds at a time.
@@ -247,7 +249,7 @@ def couples(keyed: DataFrame, key: str, most: int) -> DataFrame:
 
 def refined(tables: Tables, made: DataFrame, members: DataFrame, hubs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Longer combinations for the nodes (g, node, n, q) of groups, hubs being (g, hub, hn, least: the smallest n in the group), and the links (u, v)
-    of nodes with their group's hub. A new key (key, node, n, q) is a group and a token outside its hub, or one that a set lacks of it.
+    of nodes with their group's hub. A new key (key, g, node, n, q) is a group and a token outside its hub, or one that a set lacks of it.
 
     Two sets x, y with x not similar to the hub h: if all that they share is in h, they share no more than x and h do, so that y can be similar to
     x only if y is smaller than h. So (1) of the tokens outside h, x and y share at least `need`, which follows from the sizes; by the usual
@@ -255,9 +257,11 @@ def refined(tables: Tables, made: DataFrame, members: DataFrame, hubs: DataFrame
     than h), and all that they share is in h, y lacks at most num (hn - yn) / (num + den) tokens of h that x has, so of one more than that of the tokens that y
     lacks x lacks one, too. If both are similar to h, they are linked to it. So each similar pair meets in a new key or in the hub."""
 
+    names = ["key", "g", "node", "n", "q", "near"]
+
     def step(batches):
         for batch in batches:
-            key, nodes, sizes, shares, links = [], [], [], [], []
+            key, groups, nodes, sizes, shares, links = [], [], [], [], [], []
             for g, node, n, q, hub, hn, least, s, t in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
                 if node == hub:
                     continue
@@ -278,25 +282,54 @@ def refined(tables: Tables, made: DataFrame, members: DataFrame, hubs: DataFrame
                     tokens.append(mix(mix(lacks + np.uint64(g & (1 << 64) - 1)) + WORD))
                 got = np.concatenate(tokens).view(np.int64)
                 key.append(got)
+                groups.append(np.full(len(got), g))
                 nodes.append(np.full(len(got), node))
                 sizes.append(np.full(len(got), n))
                 shares.append(np.full(len(got), q))
                 if near:
                     links.append((hub, node))
             if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (key, nodes, sizes, shares)] + [pa.array(np.zeros(sum(map(len, key)), bool))], ["key", "node", "n", "q", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (key, groups, nodes, sizes, shares)] + [pa.array(np.zeros(sum(map(len, key)), bool))], names)
             if links:
                 link = np.array(links, np.int64)
                 zero = pa.array(np.zeros(len(link), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(link[:, 0]), pa.array(link[:, 1]), zero, zero, pa.array(np.ones(len(link), bool))], ["key", "node", "n", "q", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(link[:, 0]), zero, pa.array(link[:, 1]), zero, zero, pa.array(np.ones(len(link), bool))], names)
 
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")
     spread = hubs.join(made.toDF("hub", "t"), "hub").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
     rows = members.join(made, "node").select("*", salt).join(spread, ["g", "salt"]).select("g", "node", "n", "q", "hub", "hn", "least", "s", "t")
-    out = tables.put("refined", rows.mapInArrow(step, "key long, node long, n long, q long, near boolean"))
+    out = tables.put("refined", rows.mapInArrow(step, "key long, g long, node long, n long, q long, near boolean"))
     return out.where("not near").drop("near"), out.where("near").select(F.least("key", "node").alias("u"), F.greatest("key", "node").alias("v"))
 
 
+def solved(tables: Tables, made: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): a forest of the links among the nodes (g, node) of each group, which is small. A set goes once to its group."""
+
+    def solve(key: tuple, t: pa.Table) -> pa.Table:
+        node = t["node"].to_numpy()
+        sets_ = [np.frombuffer(x, np.uint64) for x in t["s"].to_pylist()]
+        n = np.array([len(x) for x in sets_], np.int64)
+        token, row = np.concatenate(sets_), np.repeat(np.arange(len(n)), n)
+        order = np.argsort(token, kind="stable")
+        token, row = token[order], row[order]
+        column = np.cumsum(np.append(False, token[1:] != token[:-1]))
+        many = np.bincount(column)
+        keep = many[column] > 1
+        row, column = row[keep], np.unique(column[keep], return_inverse=True)[1]
+        both = np.zeros((len(n), len(n)), np.float64)
+        for a in range(0, int(column.max(initial=-1)) + 1, 8192):  # by stretches of tokens
+            x, z = np.searchsorted(column, [a, a + 8192])
+            held = np.zeros((len(n), 8192), np.float32)
+            held[row[x:z], column[x:z] - a] = 1
+            both += held @ held.T
+        u, v = np.nonzero(np.triu((den + num) * both >= num * (n[:, None] + n[None]), 1))
+        edges = pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["a", "b"])
+        found = [pa.table({"u": b.column(1), "v": b.column(0)}) for b in joined([edges])]
+        return pa.concat_tables(found)
+
+    return members.select("g", "node").join(made, "node").groupBy("g").applyInArrow(solve, "u long, v long")
+
+
 def counted_keys(tables: Tables, keys: DataFrame) -> DataFrame:
     """The keys that more than one node has, with `many`, their number of nodes, and `head`, the node of which others have most."""
     stats = keys.groupBy("key").agg(F.count("*").alias("many"), F.max(F.struct("q", "node", "n")).alias("head")).where("many > 1")
@@ -403,26 +436,33 @@ def links(documents: DataFrame, tables: Tables, words: int, num: int, den: int,
     found, small = verified(tables, made, with_hubs(tables, keyed.withColumn("c", F.col("node")), SMALL, pairs, num, den), num, den), SMALL
     big = keyed.where(f"many > {small}")
     first = True
-    while big.limit(1).count():  # combinations of many sets that their hub did not join: their sets meet by longer combinations
-        big = big.select("key", "node", "n", "q", "head")
+    while big.limit(1).count():  # combinations of many sets that their hub did not join
         named = tables.put("named", connected_components(tables, found.select(F.col("u").alias("a"), F.col("v").alias("b")), "inner"))
         placed = tables.put("placed", big.join(named, "node", "left").select("*", F.coalesce("component", "node").alias("c")).drop("component"))
-        count = placed.groupBy("key", "c").agg(F.count("*").alias("m"), F.max("head").alias("head"))
-        open_ = count.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("most"), F.max("head").alias("head")).where("parts > 1")
+        count = placed.groupBy("key", "c").agg(F.count("*").alias("m"), F.max("head").alias("head"), *([] if first else [F.min("g").alias("g")]))
+        open_ = count.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("most"), F.max("head").alias("head"), *([] if first else [F.min("g").alias("g")])).where("parts > 1")
         if first:  # one group for all keys of which most sets are of one component, around the set of it of which others have most
             centre = placed.groupBy("c").agg(F.max(F.struct("q", "node", "n")).alias("centre"))
             group = open_.select("key", F.col("most.c").alias("c")).join(centre, "c").select("key", F.col("centre.node").alias("g"), F.col("centre.node").alias("hub"), F.col("centre.n").alias("hn"))
-        else:  # a key is its own group, and its hub is in it, so that the sets of a key get fewer with each step
-            group = open_.select("key", F.col("key").alias("g"), F.col("head.node").alias("hub"), F.col("head.n").alias("hn"))
+        else:  # one for all keys of a group with one head, which the group's hub is not, so that groups get smaller with each step
+            group = open_.select("key", F.xxhash64("g", "head.node").alias("g"), F.col("head.node").alias("hub"), F.col("head.n").alias("hn"))
         group = tables.put("group", group)
         members = tables.put("members", placed.select("key", "node", "n", "q").join(group.select("key", "g"), "key").select("g", "node", "n", "q").distinct())
-        hubs = group.drop("key").distinct().join(members.groupBy("g").agg(F.min("n").alias("least")), "g")
-        keys, near = refined(tables, made, members, hubs, num, den)
+        sizes = tables.put("sizes", members.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"), F.min("n").alias("least")))
+        few = F.expr(f"m <= {SOLVED} and tokens <= {SOLVED_TOKENS}")
+        near = solved(tables, made, members.join(sizes.where(few), "g", "left_semi"), num, den)
+        large = sizes.where(~few).select("g", "least")
+        if not large.limit(1).count():
+            found = tables.put("found", found.unionByName(near))
+            break
+        # sets of large groups meet by longer combinations
+        hubs = group.drop("key").distinct().join(large, "g")
+        keys, linked = refined(tables, made, members.join(large, "g", "left_semi"), hubs, num, den)
         keyed = counted_keys(tables, keys)
         small, first = SMALL_LATER, False
         placed = keyed.join(named, "node", "left").select("*", F.coalesce("component", "node").alias("c"))
         more = with_hubs(tables, placed, small, None, num, den).join(pairs, ["u", "v"], "left_anti")
-        found = tables.put("found", found.unionByName(near).unionByName(verified(tables, made, more, num, den)).distinct())
+        found = tables.put("found", found.unionByName(near).unionByName(linked).unionByName(verified(tables, made, more, num, den)).distinct())
         big = keyed.where(f"many > {small}")
     name = classes.select(F.col("a").alias("node"), "first")
     out = found.join(name.toDF("u", "x"), "u").join(name.toDF("v", "y"), "v").select("x", "y").where("x <> y").distinct()
@@ -448,5 +488,5 @@ def near_groups(documents: DataFrame, words: int = 5, num: int = 75, den: int =
     # rows with one id unite the classes they are in
     out = rows.join(named, ["a", "b", "n", "salt"], "left").select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component_id", "d")).alias("component_id"))
     out = tables.put("out", out)
-    tables.drop("postings", "shared", "often", "heavy", "sets", "tokens", "keys", "keyed", "pairs", "named", "placed", "group", "members", "refined", "found", "dealt", "classes", "links", "prints", "inner-edges", "outer-edges")
+    tables.drop("postings", "shared", "often", "heavy", "sets", "tokens", "keys", "keyed", "pairs", "named", "placed", "group", "members", "sizes", "refined", "found", "dealt", "classes", "links", "prints", "inner-edges", "outer-edges")
     return out

@@ -87,16 +87,18 @@ def check_packing(got, texts, lib, limit=2048):
 
 
 @pytest.mark.parametrize("tiers", [(2048, 1024, 512, 256), (64, 16)])
-def test_packing(spark, corpus, tiers):
-    df = spark.createDataFrame(corpus, SCHEMA).repartition(3)
-    df.write.mode("overwrite").parquet("/tmp/lectern-test-packing")
-    got = packing.pack(spark.read.parquet("/tmp/lectern-test-packing"), P.path("word_bpe_49k.json"), tiers=tiers, pool=4).collect()
+def test_packing(spark, corpus, tiers, tmp_path):
+    spark.createDataFrame(corpus, SCHEMA).repartition(3).write.parquet(str(tmp_path / "t"))
+    steps = 4 * tiers[0]
+    got = packing.pack(spark.read.parquet(str(tmp_path / "t")), P.path("word_bpe_49k.json"), tiers=tiers, pool=4, step_tokens=steps).collect()
     assert check_packing(got, corpus, Tokenizer.from_file(P.path("word_bpe_49k.json")), tiers[0]) == 0
-    full = {(r.sequence_id, r.window) for r in got}
-    groups = defaultdict(int)
+    assert len({(r.sequence_id, r.window) for r in got}) == len({r.sequence_id for r in got})
+    groups = defaultdict(lambda: defaultdict(int))
     for r in got:
-        groups[r.step_group] += r.length
-    assert len(full) == len({r.sequence_id for r in got}) and max(groups.values()) <= 65536
+        groups[r.window][r.step_group] += r.length
+    assert len({r.sequence_id >> 40 for r in got}) > 1
+    for window, of in groups.items():  # over all tasks, the groups of a size but the last one are equal
+        assert [of[g] for g in sorted(of)][:-1] == [max(steps // window, 1) * window] * (len(of) - 1) and of[max(of)] <= max(steps, window)
 
 
 def test_packing_odd_rows(spark):
@@ -154,21 +156,23 @@ def test_shingle_join_classes(spark, corpus, monkeypatch, frequent, small, num):
     monkeypatch.setattr(shingle_join, "FREQUENT", frequent)
     monkeypatch.setattr(shingle_join, "SMALL", small)
     monkeypatch.setattr(shingle_join, "HELD", 50)
+    monkeypatch.setattr(shingle_join, "SOLVED", 12 * small)
     monkeypatch.setattr(common, "EDGES_A_TASK", 7)
     rows = corpus[::2]
     assert groups_of(spark.createDataFrame(rows, SCHEMA).repartition(3), num=num) == brute_groups(rows, num)
 
 
-@pytest.mark.parametrize("seed,small", [(1, 3), (2, 8)])
-def test_shingle_join_of_families(spark, monkeypatch, seed, small):
+@pytest.mark.parametrize("seed,small,few", [(1, 3, 256), (2, 6, 40)])
+def test_shingle_join_of_families(spark, monkeypatch, seed, small, few):
     """Copies of copies with words changed, put in and taken out, so that many pairs are just similar enough or just not: what the hubs
     leave out is never a link."""
     monkeypatch.setattr(shingle_join, "FREQUENT", 3)
     monkeypatch.setattr(shingle_join, "SMALL", small)
     monkeypatch.setattr(shingle_join, "SMALL_LATER", 2 * small)
+    monkeypatch.setattr(shingle_join, "SOLVED", few)
     rng = random.Random(seed)
     family = [[f"w{k}" for k in range(70)]]
-    for _ in range(160):
+    for _ in range(110):
         t = family[rng.randrange(1 + len(family) // 3)][:]
         for _ in range(rng.randint(1, 5)):
             k = rng.randrange(len(t))
