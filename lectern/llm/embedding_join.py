@@ -6,13 +6,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, connected_components
 from .vectors import classes, matrix, valid
 
-GROUP, LEAF, DIMS, SAMPLE = 4096, 256, 8, 20_000
+#: Vectors in a leaf and, at most, in a group; principal directions of boxes, and of the order; rows that the directions are fitted on.
+LEAF, GROUP, DIMS, ORDER, SAMPLE = 256, 65_536, 16, 8, 20_000
+
+
+def group_size(n: int) -> int:
+    """Vectors in a group, of n in all: it grows with the root of n, so that both the groups that a vector may be sent to and what a task holds grow
+    slower than n, up to GROUP, which bounds the task."""
+    return min(max(8 * LEAF, int(64 * math.sqrt(n)) // LEAF * LEAF), max(GROUP // LEAF, 1) * LEAF)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -110,8 +117,9 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
     """(id, n_links, component_id, kept) for each row. Ids are integers. Vectors with a cosine of `cosine` at least are linked; the join is exact.
 
     Equal vectors are one vector with a weight. Unit vectors are sorted in epsilon grid order: by the cells, as wide as the
-    largest distance of a link, of their coordinates on leading principal directions, whole groups of GROUP in sequence.
-    Pairs of groups meet by an equi-join on cells of the first direction and are kept if their boxes may hold a link. A task
+    largest distance of a link, of their coordinates on ORDER leading principal directions, and cut into leaves of LEAF and groups of group_size(n) in
+    sequence, each with its box on DIMS directions. Pairs of groups meet by an equi-join on cells of the first direction and are kept if their boxes may hold a
+    link; to a kept pair go those leaves of either group whose box may hold a link with the other's box, and no others. A task
     joins the intervals of a pair recursively, leaving out those whose boxes are too far apart. It returns, for each vector, the weight of
     its links, and a forest of the links, so nothing grows with the pairs.
 
@@ -126,65 +134,70 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
     if not n:
         return df.select(id_col, F.lit(0).cast("long").alias("n_links"), out.alias("component_id"), F.lit(True).alias("kept"))
     basis = principal(reps, DIMS)
-    width = math.sqrt(2 - 2 * cosine)
-    dims = basis.shape[1]
-    cells = [f"c{k}" for k in range(dims)]
+    width, far = math.sqrt(2 - 2 * cosine), 2 - 2 * cosine + 1e-9
+    dims, size = basis.shape[1], group_size(n)
+    cells = [f"c{k}" for k in range(min(ORDER, dims))]
     element = reps.schema["v"].dataType.simpleString()
 
     def place(batches):
         for b in batches:
-            x = unit(matrix(b.column(2))) @ basis
-            c = np.floor(x / width).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c[:, k]) for k in range(dims))], ["rep", "n", "v", *cells])
+            c = np.floor(unit(matrix(b.column(2))) @ basis[:, : len(cells)] / width).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c[:, k]) for k in range(len(cells)))], ["rep", "n", "v", *cells])
 
     placed = reps.select("rep", "n", "v").mapInArrow(place, f"rep long, n long, v {element}, " + ", ".join(f"{c} int" for c in cells))
-    parts = -(-n // GROUP)
-    ordered = placed.repartitionByRange(parts, *cells, "rep").sortWithinPartitions(*cells, "rep")
+    ordered = placed.repartitionByRange(-(-n // size), *cells, "rep").sortWithinPartitions(*cells, "rep")
     ordered = tables.put("ordered", ordered.withColumn("m", F.monotonically_increasing_id()).select("rep", "n", "v", F.shiftright("m", 33).cast("int").alias("part"), F.col("m").bitwiseAND((1 << 33) - 1).alias("at")))
-    counts = {r.part: r["count"] for r in ordered.groupBy("part").count().collect()}  # one row a partition
-    first, total = {}, 0
-    for k in sorted(counts):
-        first[k], total = total, total + counts[k]
-    starts = df.sparkSession.createDataFrame(list(first.items()), "part int, first long")
+    # places in the whole sequence, from the numbers of rows in the partitions before, which are one row a partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("part").agg(F.count("*").alias("rows")).select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
 
-    def box(key: tuple, t: pa.Table) -> pa.Table:
+    def leaf(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("at")
         v = matrix(t["v"].combine_chunks())
         x = unit(v) @ basis
-        return pa.table({"grp": [key[0].as_py()], "ids": [t["rep"].to_numpy().tobytes()], "w": [t["n"].to_numpy().tobytes()], "v": [np.ascontiguousarray(v, np.float64 if v.dtype == np.float64 else np.float32).tobytes()], "lo": [x.min(0).tolist()], "hi": [x.max(0).tolist()]})
+        return pa.table({"leaf": [key[0].as_py()], "ids": [t["rep"].to_numpy().tobytes()], "w": [t["n"].to_numpy().tobytes()], "v": [np.ascontiguousarray(v, np.float64 if v.dtype == np.float64 else np.float32).tobytes()], "lo": [x.min(0).tolist()], "hi": [x.max(0).tolist()]})
 
-    numbered = ordered.join(F.broadcast(starts), "part").select("rep", "n", "v", (F.col("at") + F.col("first")).alias("at")).withColumn("grp", F.expr(f"at div {GROUP}"))
-    groups = tables.put("groups", numbered.groupBy("grp").applyInArrow(box, "grp long, ids binary, w binary, v binary, lo array<double>, hi array<double>"))
-    boxes = groups.select("grp", "lo", "hi")
+    numbered = ordered.join(F.broadcast(starts), "part").select("rep", "n", "v", (F.col("at") + F.col("first")).alias("at")).withColumn("leaf", F.expr(f"at div {LEAF}"))
+    leaves = tables.put("leaves", numbered.groupBy("leaf").applyInArrow(leaf, "leaf long, ids binary, w binary, v binary, lo array<double>, hi array<double>"))
+    boxes = leaves.select("leaf", F.expr(f"leaf div {size // LEAF}").alias("grp"), "lo", "hi")
+    lows, highs = (F.array(*[f(F.col(c)[k]) for k in range(dims)]).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi")))
+    groups = tables.put("groups", boxes.groupBy("grp").agg(lows, highs))
 
     def cell(c: str, more: int = 0):
         return (F.floor(F.element_at(c, 1) / F.lit(width)) + more).cast("long")
 
-    one = boxes.select(F.col("grp").alias("g"), F.col("lo").alias("glo"), F.col("hi").alias("ghi"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("c"))
-    two = boxes.select(F.col("grp").alias("h"), F.col("lo").alias("hlo"), F.col("hi").alias("hhi"), F.explode(F.sequence(cell("lo", -1), cell("hi", 1))).alias("c"))
-    gap = F.aggregate(F.zip_with(F.arrays_zip("glo", "ghi"), F.arrays_zip("hlo", "hhi"), lambda a, b: F.greatest(a["glo"] - b["hhi"], b["hlo"] - a["ghi"], F.lit(0.0))), F.lit(0.0), lambda s, d: s + d * d)
-    tiles = one.join(two, "c").where("g <= h").where(gap <= 2 - 2 * cosine + 1e-9).select("g", "h").distinct()
-    need = tiles.select("g", "h", F.explode(F.array_distinct(F.array("g", "h"))).alias("grp"))
+    def near(a: str, b: str):
+        """Whether two boxes, columns <a>lo, <a>hi and <b>lo, <b>hi, may hold a link."""
+        sides = F.zip_with(F.arrays_zip(F.col(f"{a}lo").alias("lo"), F.col(f"{a}hi").alias("hi")), F.arrays_zip(F.col(f"{b}lo").alias("lo"), F.col(f"{b}hi").alias("hi")), lambda x, y: F.greatest(x["lo"] - y["hi"], y["lo"] - x["hi"], F.lit(0.0)))
+        return F.aggregate(sides, F.lit(0.0), lambda s, d: s + d * d) <= far
+
+    one = groups.select(F.col("grp").alias("g"), F.col("lo").alias("glo"), F.col("hi").alias("ghi"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("c"))
+    two = groups.select(F.col("grp").alias("h"), F.col("lo").alias("hlo"), F.col("hi").alias("hhi"), F.explode(F.sequence(cell("lo", -1), cell("hi", 1))).alias("c"))
+    tiles = one.join(two, "c").where("g <= h").where(near("g", "h")).select("g", "h", "glo", "ghi", "hlo", "hhi").dropDuplicates(["g", "h"])
+    # of each side the leaves that are near the other's box
+    sides = tiles.select("g", "h", F.col("g").alias("grp"), F.col("hlo").alias("olo"), F.col("hhi").alias("ohi")).unionByName(tiles.where("g < h").select("g", "h", F.col("h").alias("grp"), F.col("glo").alias("olo"), F.col("ghi").alias("ohi")))
+    need = sides.join(boxes.select("grp", "leaf", F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "grp").where((F.col("g") == F.col("h")) | near("b", "o")).select("g", "h", "grp", "leaf")
     kind = np.float64 if "double" in element else np.float32
 
     def tile(key: tuple, t: pa.Table) -> pa.Table:
-        order = np.argsort(t["grp"].to_numpy())
-        rows = [(np.frombuffer(i, np.int64), np.frombuffer(w, np.int64), np.frombuffer(v, kind)) for i, w, v in ([t[c][int(k)].as_py() for c in ("ids", "w", "v")] for k in order)]
-        ids, w = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-        j = Joiner(ids, np.concatenate([r[2].reshape(len(r[0]), -1) for r in rows]), w, basis, cosine)
-        cut = len(rows[0][0])
-        if len(rows) == 1:
-            j.join((0, cut), (0, cut))
+        t = t.sort_by("leaf")
+        ids, w = (np.frombuffer(b"".join(t[c].to_pylist()), np.int64) for c in ("ids", "w"))
+        v = np.frombuffer(b"".join(t["v"].to_pylist()), kind).reshape(len(ids), -1)
+        j = Joiner(ids, v, w, basis, cosine)
+        if key[0].as_py() == key[1].as_py():
+            j.join((0, len(ids)), (0, len(ids)))
         else:
+            cut = sum(len(x) // 8 for x, g in zip(t["ids"].to_pylist(), t["grp"].to_pylist(), strict=True) if g == key[0].as_py())
             j.join((0, cut), (cut, len(ids)))
         return j.result()
 
-    found = tables.put("found", need.join(groups.select("grp", "ids", "w", "v"), "grp").groupBy("g", "h").applyInArrow(tile, "kind long, a long, b long"))
+    sent = need.join(leaves.select("leaf", "ids", "w", "v"), "leaf")
+    found = tables.put("found", sent.groupBy("g", "h").applyInArrow(tile, "kind long, a long, b long"))
     links = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     comps = connected_components(tables, found.where("kind = 1").select("a", "b"), "vectors").withColumnRenamed("node", "rep")
     named = tables.put("named", reps.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(comps, "rep", "left").select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component", "rep").alias("_component")))
     rows = df.select(id_col, F.xxhash64(vec_col).alias("h1"), F.xxhash64(F.lit(7), vec_col).alias("h2"))
     component = F.when(out.isNull(), F.lit(None)).otherwise(F.coalesce("_component", out))
     got = rows.join(named, ["h1", "h2"], "left").select(id_col, F.when(out.isNull(), F.lit(0)).otherwise(F.coalesce("_links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"))
-    tables.drop("reps", "ordered", "groups", "found", "vectors-edges")
+    tables.drop("reps", "ordered", "leaves", "groups", "found", "vectors-edges")
     return got.withColumn("kept", F.coalesce(out == F.col("component_id"), F.lit(True)))

@@ -78,13 +78,16 @@ def found(df):
     return out
 
 
-def test_nearest_all_buckets_is_exact(spark):
-    """With every neighbouring bucket visited and whole comparison of the rest, ties and equal vectors are in order."""
+@pytest.mark.parametrize("block,asked,part", [(2048, 512, 16_384), (16, 3, 40)])
+def test_nearest_all_buckets_is_exact(spark, monkeypatch, block, asked, part):
+    """With every neighbouring bucket visited and whole comparison of the rest, ties and equal vectors are in order, whatever the blocks."""
+    for name, value in (("BLOCK", block), ("ASKED", asked), ("PART", part), ("fitted", lambda sample, near, n, tables, recall: (nearest.Hashes(sample.shape[1], 60.0, tables, 4), 81))):
+        monkeypatch.setattr(nearest, name, value)
     x = cloud(np.random.default_rng(5), 400)
     ids = [int(i) for i in np.random.default_rng(6).permutation(len(x))]
     df = spark.createDataFrame(rows_of(x, ids) + ODD, SCHEMA).repartition(3)
     q = [i for i in ids if i % 20 == 0]
-    got = found(nearest.nearest(df, df.where("vec_id % 20 = 0"), width=8.0, probes=729))
+    got = found(nearest.nearest(df, df.where("vec_id % 20 = 0")))
     want = brute_nearest(x, ids, q, 10)
     assert set(got) == set(q)
     for i in q:
@@ -100,6 +103,26 @@ def test_nearest_recall(spark):
     assert hits >= 0.9 * 10 * len(want)
 
 
+def test_share_compared_falls_as_the_table_grows():
+    """The parameters that a table gets find 0.9 of the true nearest of other queries, with a falling share of the vectors compared."""
+    shares = []
+    for n in (2000, 30_000):
+        x = np.random.default_rng(8).normal(size=(n, 24))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        true = lambda q: [x[np.argsort(((x - x[i]) ** 2).sum(1))[1:11]] for i in q]  # noqa: B023, E731
+        fit, ask = range(48), range(100, 140)
+        hashes, probes = nearest.fitted(x[list(fit)], true(fit), n, 6, 0.96)
+        cells = [hashes.buckets(x, t) for t in range(6)]
+        got, hits = 0, 0
+        for i, near in zip(ask, true(ask), strict=True):
+            seen = np.any([np.isin(cells[t], hashes.probes(x[i : i + 1], t, probes)[0]) for t in range(6)], axis=0)
+            got += seen.sum()
+            hits += sum(bool(seen[np.flatnonzero((x == v).all(1))[0]]) for v in near)
+        assert hits >= 0.9 * 10 * len(ask)
+        shares.append(got / n / len(ask))
+    assert shares[1] < 0.9 * shares[0] < 0.9
+
+
 def test_nearest_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0), (100, [0.0, 5.0], 0), (3, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (None, [1.0, 0.0], 0)], SCHEMA)
     got = found(nearest.nearest(df, df.where("vec_id % 100 = 0")))
@@ -109,7 +132,7 @@ def test_nearest_few_rows(spark):
 
 
 def test_probes_are_in_order_and_start_at_home():
-    h = nearest.Hashes(8, 1.0, 2, 4, 1.0)
+    h = nearest.Hashes(8, 1.0, 2, 4)
     x = np.random.default_rng(1).normal(size=(5, 8))
     keys = h.probes(x, 1, 81)
     assert (keys[:, 0] == h.buckets(x, 1)).all() and len({*keys[0].tolist()}) == 81
