@@ -9,11 +9,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from . import bpe
+from .common import Tables
 
-SCHEMA = "`{}` {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
+SCHEMA = "`{}` {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, ordinal long"
 
 
 @lru_cache(maxsize=1)
@@ -28,11 +30,10 @@ class Packer:
     Packing: as soon as a tier holds `pool` windows' worth of tokens, its pieces are placed largest first, each into the fullest open
     window that takes it whole. Gaps are filled from the shorter tiers' waiting pieces, whole ones while they fit, the
     last one cut at the gap's end. A window leaves only when it is full, so it needs no padding; what is left
-    at the task's end is cut into windows that are powers of two. Step groups: windows of one tier, in order, each group with
-    the same number of tokens (`step_tokens`)."""
+    at the task's end is cut into windows that are powers of two. Windows of one size are counted (`ordinal`), for the step groups."""
 
-    def __init__(self, tiers: tuple[int, ...], pool: int, step_tokens: int, task: int):
-        self.tiers, self.pool, self.step_tokens = tiers, pool, step_tokens
+    def __init__(self, tiers: tuple[int, ...], pool: int, task: int):
+        self.tiers, self.pool = tiers, pool
         self.wait: dict[int, deque] = {t: deque() for t in tiers}
         self.held = dict.fromkeys(tiers, 0)
         self.next, self.filled = task << 40, {}
@@ -57,11 +58,11 @@ class Packer:
                 self.pack(t)
 
     def emit(self, pieces: list[tuple], window: int) -> None:
-        tokens = self.filled[window] = self.filled.get(window, 0) + window
-        group = (self.next >> 40 << 40) + (window.bit_length() << 34) + (tokens - 1) // max(self.step_tokens, window)
+        ordinal = self.filled.get(window, 0)
+        self.filled[window] = ordinal + 1
         offset = 0
         for key, start, ids, n in pieces:
-            self.rows.append((key, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()), n, self.next, offset, window, group))
+            self.rows.append((key, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()), n, self.next, offset, window, ordinal))
             offset += len(ids)
         self.next += 1
 
@@ -144,20 +145,25 @@ def pack(df: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = (2048, 102
     two long, so none needs padding. Repeated rows are documents of their own, a null id stays null, other columns play no part;
     an empty table gives no rows. Each task packs what it reads: no shuffle, memory for `pool` windows a tier, and
     sequence ids that start with the task's number; of a table, whose splits are fixed, a retried task gives the same rows. (Of a
-    frame that is shuffled, write a table first, as the pipeline does.)"""
+    frame that is shuffled, write a table first, as the pipeline does.)
+
+    Step groups are balanced over all tasks: windows of one size are numbered through, task after task (by what the tasks before have,
+    one row a task and size), and each `step_tokens` tokens of them are a group, so that all groups of a size but its last have equal
+    tokens. A group's number has the window's size in its upper bits."""
     if list(tiers) != sorted(tiers, reverse=True) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers: powers of two, largest first")
+    tables = Tables(df.sparkSession, "packing")
     vocab = bpe.load(df.sparkSession, tokenizer_path)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        packer = Packer(tiers, pool, step_tokens, TaskContext.get().partitionId())
+        packer = Packer(tiers, pool, TaskContext.get().partitionId())
         enc = encoder(vocab.value)
 
         def out(id_type):
             cols = list(zip(*packer.rows, strict=True)) or [[]] * 9
             packer.rows = []
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:])], [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:])], [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "ordinal"])
 
         id_type = None
         for b in batches:
@@ -172,4 +178,12 @@ def pack(df: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = (2048, 102
             packer.finish()
             yield out(id_type)
 
-    return df.select(id_col, text_col).mapInArrow(run, SCHEMA.format(id_col, kind))
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window"]
+    packed = tables.put("packed", df.select(id_col, text_col).mapInArrow(run, SCHEMA.format(id_col, kind)))
+    packed = packed.withColumn("_task", F.shiftright("sequence_id", 40))
+    earlier = Window.partitionBy("window").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    windows = packed.where("offset = 0").groupBy("window", "_task").agg(F.count("*").alias("_n"))
+    first = windows.select("window", "_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    a_group = F.greatest(F.lit(1), F.expr(f"{int(step_tokens)} div window"))
+    group = F.shiftleft("window", 40) + F.floor((F.col("_first") + F.col("ordinal")) / a_group).cast("long")
+    return packed.join(F.broadcast(first), ["window", "_task"]).select(*names, group.alias("step_group"))
