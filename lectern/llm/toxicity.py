@@ -74,7 +74,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds:
     `most_features` n-grams. Presence of n-grams is counted for each class over the sample, the ratio r of an n-gram is
     log((n1 + 1) / (N1 + 2)) - log((n0 + 1) / (N0 + 2)), those with the largest standardised difference are kept, and a logistic
     regression with L1 and L2 penalties is fitted to presence times r. Labels other than 0 and 1, and null ids, are left out; ids
-    with several labels count as the larger. With one class only the score is constant."""
+    with several labels count as the larger. With one class only the score is constant. most_features: 32,767 at most."""
+    if not 0 < most_features < 1 << 15:
+        raise ValueError("most_features: 1 to 32767")
     chosen = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (crc_mod(id_col, folds) != 0)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label)).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id", F.lit(8)), "_id").limit(most_rows)
     sample = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_y")
