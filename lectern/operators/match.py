@@ -10,9 +10,10 @@ from .filters import valid_doi
 
 
 def deletions(s: Column) -> Column:
-    """The text and all that it becomes without one of its characters. Two texts within one edit share one of these."""
-    less = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s))))
-    return F.array_distinct(F.concat(F.array(s), F.when(F.length(s) > 0, less).otherwise(F.array().cast("array<string>"))))
+    """Hashes of the text and of all that it becomes without one of its characters: 8 bytes for each, whatever its length. Two texts within one edit
+    share one of these."""
+    less = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.xxhash64(F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s)))))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(s)), F.when(F.length(s) > 0, less).otherwise(F.array().cast("array<bigint>"))))
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, left_id: str, left_key: str, right_id: str, right_key: str) -> DataFrame:
@@ -20,8 +21,8 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, left_id: str, left_key: str,
     only candidates are compared."""
     a = left.select(F.col(left_id).alias("l"), F.col(left_key).alias("lk")).where("lk is not null")
     b = right.select(F.col(right_id).alias("r"), F.col(right_key).alias("rk")).where("rk is not null")
-    x = a.select("l", "lk", F.explode(deletions(F.col("lk"))).alias("d")).select("l", "lk", F.xxhash64("d").alias("h"))
-    y = b.select("r", "rk", F.explode(deletions(F.col("rk"))).alias("d")).select("r", "rk", F.xxhash64("d").alias("h"))
+    x = a.select("l", "lk", F.explode(deletions(F.col("lk"))).alias("h"))
+    y = b.select("r", "rk", F.explode(deletions(F.col("rk"))).alias("h"))
     met = x.join(y, "h").select("l", "lk", "r", "rk").distinct()
     return met.where(within_one_edit("lk", "rk")).select(F.col("l").alias(left_id), F.col("r").alias(right_id))
 
