@@ -26,6 +26,17 @@ def task_counts(df: DataFrame, tasks: str) -> DataFrame:
     return df.select(F.explode(tasks).alias("task")).groupBy("task").agg(F.count("*").alias("nb"))
 
 
+# What is kept of a dataset of the dump.
+DATASET_FIELDS = ["name", "full_name", "homepage", "description", "paper", "introduced_date", "warning", "modalities", "languages", "variants", "num_papers"]
+
+
+def focused_datasets(datasets: DataFrame, focus: list[str]) -> DataFrame:
+    """(url, kept fields, tasks, paper_url) of the datasets with a task in focus, tasks being those (P19). Of the kept fields, those that the frame has."""
+    mine = F.transform(F.filter("tasks", lambda t: in_focus(t["task"], focus)), lambda t: t["task"])
+    kept = [c for c in DATASET_FIELDS if c in datasets.columns]
+    return datasets.select("url", *kept, mine.alias("tasks"), F.col("paper.url").alias("paper_url")).where(F.size("tasks") > 0)
+
+
 def datasets_by_task(df: DataFrame, name: str, tasks: str, focus: list[str]) -> DataFrame:
     """(task, datasets) of the tasks in focus."""
     rows = df.select(name, F.explode(tasks).alias("task")).where(in_focus("task", focus))

@@ -76,11 +76,6 @@ def is_preprint(url: Column | str) -> Column:
     return has(url, "arxiv")
 
 
-def push_gate(url: str, code: Column, benchmarked: Column, dataset: Column) -> Column:
-    """Not a preprint, or with code, or benchmarked; and no dataset paper."""
-    return (~is_preprint(url) | code | benchmarked) & ~dataset
-
-
 def has_citations(extra: str) -> Column:
     """Both lists are stored."""
     return F.coalesce(F.contains(extra, F.lit("citing")) & F.contains(extra, F.lit("cited")), F.lit(False))

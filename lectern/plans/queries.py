@@ -316,9 +316,9 @@ def graph_edges_list(spark, d):
 # ---- joins -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_existing(spark, d):
-    return library.absent(t(spark, d, "customer").select(F.col("c_custkey").alias("url")), t(spark, d, "orders").select(F.col("o_custkey").alias("url"))).select(F.col("url").alias("c_custkey"))
+    return library.absent(t(spark, d, "documents").select(F.col("doc_id").alias("url")), t(spark, d, "labels").select(F.col("doc_id").alias("url"))).select(F.col("url").alias("doc_id"))
 
 
 @query("""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,19 @@ def write_state(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_records(df: DataFrame, path: str) -> None:
-    """;-separated and quoted, with a header, NA for missing (K3)."""
+def with_index(df: DataFrame, by: list[str], name: str = "index") -> DataFrame:
+    """A first column of row numbers from 0 in the order of `by`, which must be unique, without bringing all rows into one task: the rows are sorted over
+    range partitions, and each gets its place in its partition and the number of rows in those before, which is one row a partition."""
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return rows.join(before, "_part").select((F.col("_before") + F.col("_at")).alias(name), *df.columns)
+
+
+def write_records(df: DataFrame, path: str, index_by: list[str] | None = None) -> None:
+    """;-separated and quoted, with a header, NA for missing (K3); with an index column if there is an order for it."""
+    df = df if index_by is None else with_index(df, index_by)
     with_na(df).write.mode("overwrite").options(sep=";", header=True, quoteAll=True, escape='"').csv(path)
 
 

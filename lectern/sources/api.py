@@ -10,9 +10,10 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.compose import by_source
 from .registry import SOURCES, SourceSpec, source
 
-SCHEMA = "api string, id_collect int, page int, total long, n int, results string"
+SCHEMA = "api string, id_collect int, endpoint string, page int, total long, n int, results string"
 
 
 class RateLimit:
@@ -55,7 +56,8 @@ def until_empty(fetch: Callable[[int], list], size: int = 100) -> Iterator[list]
 
 def collect(queries: DataFrame, fetch: Callable[[str, str, int], dict]) -> DataFrame:
     """One row a page of the pending queries (api, id_collect, keyword, year, last_page). All queries of a service are in one
-    partition, so its rate limit holds, and one service's pages go out as they come (C6)."""
+    partition, so its rate limit holds, and one service's pages go out as they come (C6). A service with several endpoints is asked at each, from its
+    first page or behind last_page, the query text having the endpoint's name and a question mark in front."""
 
     def run(batches):
         import pandas as pd
@@ -66,10 +68,11 @@ def collect(queries: DataFrame, fetch: Callable[[str, str, int], dict]) -> DataF
                 spec = source(q.api)
                 limit = limits.setdefault(spec.name, RateLimit(spec.calls_per_second))
                 text = spec.compile(list(q.keyword), int(q.year))
-                for p in pages(spec, text, lambda u, n, a=q.api: fetch(a, u, n), int(q.last_page), limit):
-                    yield pd.DataFrame([[q.api, q.id_collect, p["page"], p["total"], p["n"], json.dumps(p["results"])]], columns=["api", "id_collect", "page", "total", "n", "results"])
+                for end in spec.endpoints:
+                    for p in pages(spec, f"{end}?{text}" if end else text, lambda u, n, a=q.api: fetch(a, u, n), int(q.last_page), limit):
+                        yield pd.DataFrame([[q.api, q.id_collect, end, p["page"], p["total"], p["n"], json.dumps(p["results"])]], columns=["api", "id_collect", "endpoint", "page", "total", "n", "results"])
 
-    return queries.repartition(len(SOURCES), "api").mapInPandas(run, SCHEMA)
+    return by_source(queries, len(SOURCES)).mapInPandas(run, SCHEMA)
 
 
 def register(spark: SparkSession, name: str, schema: str, specs: list[dict], reader: Callable[[dict], Iterator[tuple]]) -> None:

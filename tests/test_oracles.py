@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
+from lectern.plans import pages, records
 from lectern.plans import queries as plain
-from lectern.plans import records
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = plain.QUERIES | records.QUERIES, plain.ORACLES | records.ORACLES
+QUERIES, ORACLES = plain.QUERIES | records.QUERIES | pages.QUERIES, plain.ORACLES | records.ORACLES | pages.ORACLES
 
 
 @pytest.fixture(scope="module")

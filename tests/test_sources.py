@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern import sinks
 from lectern.operators import compose
-from lectern.sources import api, files, registry
+from lectern.sources import api, envelopes, files, registry
 from lectern.streaming import landing
 
 
@@ -53,6 +53,40 @@ def test_collect(spark):
     assert set(got) == {"DBLP", "Arxiv"} and "year:2020" in got["DBLP"]["url"]
 
 
+def test_collect_of_two_endpoints(spark):
+    """Springer's pages come from both endpoints."""
+    q = compose.initial_state(compose.query_matrix(spark, [["k"]], [2020], ["Springer"]))
+    got = api.collect(q, lambda name, url, page: {"total": 1, "results": [{"url": url}]}).collect()
+    assert {(r.endpoint, json.loads(r.results)[0]["url"].split("?")[0], r.page) for r in got} == {("meta", "meta", 1), ("openaccess", "openaccess", 1)}
+
+
+def test_envelopes_of_odd_bodies(spark):
+    rows = [("DBLP", 0, 1, None), ("IEEE", 0, 1, "no json"), ("Arxiv", 0, 1, "<feed"), ("HAL", 0, 1, '{"response":{"numFound":"x"}}'), ("other", 0, 1, "{}"), (None, 0, 1, "{}"), ("Arxiv", 1, 1, "<feed><totalResults>3</totalResults></feed>")]
+    got = envelopes.page_envelopes(spark.createDataFrame(rows, "api string, id_collect int, page long, body string"))
+    assert sorted((r.id_collect, r.total, r.n) for r in got.collect()) == [(0, 0, 0)] * 6 + [(1, 3, 0)]
+    assert envelopes.page_envelopes(spark.createDataFrame([], "api string, id_collect int, page long, body string")).count() == 0
+
+
+def test_requested_fields_and_orders():
+    c = lambda n: registry.source(n).compile(["a"], 2020)
+    assert "&fields=title,abstract," in c("SemanticScholar") and "fl=title_s,abstract_s," in c("HAL") and "sort_field=article_number" in c("IEEE") and "sortBy=relevance" in c("Arxiv")
+
+
+def test_delivery_and_sources_at_once(spark, tmp_path):
+    from lectern.operators import library
+
+    where = str(tmp_path)
+
+    def send(rows):
+        for r in rows:
+            open(f"{where}/{r.k}", "w").close()
+
+    library.deliver(spark.range(3).withColumnRenamed("id", "k"), send)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["0", "1", "2"]
+    dealt = compose.by_source(spark.createDataFrame([("a", 1), ("b", 1), ("a", 2)], "api string, id_collect int"), 4).withColumn("p", F.spark_partition_id())
+    assert dealt.groupBy("api").agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0
+
+
 def test_data_source(spark):
     api.register(spark, "lectern_pages", "api string, n int", [{"api": "a"}, {"api": "b"}], lambda s: iter([(s["api"], 1), (s["api"], 2)]))
     df = spark.read.format("lectern_pages").load()
@@ -77,12 +111,15 @@ def test_landing_and_stream(spark, tmp_path):
     run()
     land(zone, "DBLP", 1, 2, [{"@id": "4", "info": {"title": "A2", "doi": "10/1", "year": "2020"}}])
     run()
-    last = max(p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("v="))
-    got = {(r.title, r.date, r.archive) for r in spark.read.parquet(str(tmp_path / "t" / last)).collect()}
+    got = {(r.title, r.date, r.archive) for r in landing.read_current(spark, str(tmp_path / "t")).collect()}
+    assert landing.current(spark, str(tmp_path / "t")) == 1 and landing.current(spark, str(tmp_path / "u")) is None
+    land(zone, "DBLP", 1, 3, [])
+    run()
+    assert landing.current(spark, str(tmp_path / "t")) == 2 and {p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("v=")} == {"v=1", "v=2"}
     assert ("B", None, "DBLP") in got and ("C", None, "DBLP") in got and len(got) == 3
     q = landing.progress(landing.pages_stream(spark, str(zone))).writeStream.outputMode("complete").format("memory").queryName("progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {(r.id_collect, r.last_page, r.coll_art) for r in spark.table("progress").collect()} == {("0", 1, 2), ("1", 2, 2)}
+    assert {(r.id_collect, r.last_page, r.coll_art) for r in spark.table("progress").collect()} == {("0", 1, 2), ("1", 3, 2)}
 
 
 def test_files(spark, tmp_path):
@@ -108,6 +145,8 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a;b", None), ('q"', "x")], "title string, DOI string")
     sinks.write_records(df, str(tmp_path / "r"))
     assert {(r.title, r.DOI) for r in files.csv_export(spark, str(tmp_path / "r")).collect()} == {("a;b", "NA"), ('q"', "x")}
+    sinks.write_records(df, str(tmp_path / "i"), index_by=["title"])
+    assert {(r["index"], r.title) for r in files.csv_export(spark, str(tmp_path / "i")).collect()} == {("0", "a;b"), ("1", 'q"')}
     sinks.write_graph(df, df, str(tmp_path / "g"))
     assert files.csv_export(spark, str(tmp_path / "g" / "nodes"), "\t").count() == 2
     sinks.write_corpus(spark.createDataFrame([("c", "**** *coll_c\ntext")], "collection string, value string"), str(tmp_path / "k"))
