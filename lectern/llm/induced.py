@@ -85,7 +85,7 @@ def range_minima(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
 class Shard:
     """text: bytes of strings that are each followed by a separator. Characters: 0 at the end, 1 for a separator, 2 + byte."""
 
-    def __init__(self, strings: list[bytes], depth: int = 100, most: int = 1 << 24):
+    def __init__(self, strings: list[bytes], depth: int = 100, most: int = 1 << 18):
         self.depth, self.most = depth, most
         joined = np.frombuffer(b"\0".join(strings) + b"\0\0", np.uint8)
         t = joined.astype(np.int16) + 2

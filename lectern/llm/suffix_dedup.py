@@ -6,16 +6,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, Tables, fresh, mix, utf8
+from .common import BASE, BASE_INVERSE, BYTE_CODE, Tables, fresh, mix, powers, utf8
 from .induced import Shard
 
 LENGTH = 100
 GRAM = 24  # bytes of an anchor
 SLICE = 32  # texts at a time, so that their arrays stay in a core's cache
 SHARD_BYTES = 3 << 19  # a shard's sort takes about 65 times as much
+HOT = 20_000  # of pieces around one anchor; with more, its windows are dealt by their own hashes
 FLUSH_BYTES = 8 << 20  # of distinct pieces that a task holds before it sends them
 M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,8 +72,8 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated_anchors(texts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(d, h, anchor) of the pieces whose anchor's bytes anchor another piece, too. A task sends each key once, with the first piece that
-    has it, and a mark if it has found it twice; the other pieces with that key are known at once."""
+    """(d, h, anchor, key) of the pieces whose anchor's bytes anchor another piece, too, and a row with anchor -1 for each key of more than HOT pieces. A task
+    sends each key once, with the first piece that has it and how many have; the other pieces with that key are known at once."""
     schema = "bucket long, key binary, d binary, h binary, anchor binary, many binary"
     names = ["bucket", "key", "d", "h", "anchor", "many"]
 
@@ -96,7 +97,7 @@ def repeated_anchors(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 k = rest[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - (a // 50_000 + int(key[k[0]]) & 0xFFFF)]), *(pa.array([x[k].tobytes()], pa.binary()) for x in (key, d, h, an)), pa.array([b""], pa.binary())], names)
             begin = np.flatnonzero(first)
-            many = np.diff(np.append(begin, len(key))) > 1
+            many = np.diff(np.append(begin, len(key))).astype(np.int32)
             key, d, h, an = key[begin], d[begin], h[begin], an[begin]
             bucket = bucket_of(key, buckets)
             order = np.argsort(bucket, kind="stable")
@@ -105,17 +106,62 @@ def repeated_anchors(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array([x[order[cut[k] : cut[k + 1]]].tobytes() for k in full], pa.binary()) for x in (key, d, h, an, many))], names)
 
     def receive(bucket: tuple, t: pa.Table) -> pa.Table:
-        key, d, h, an, many = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip(names[1:], (np.int64, np.int64, np.int64, np.int32, bool), strict=True))
+        key, d, h, an, many = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip(names[1:], (np.int64, np.int64, np.int64, np.int32, np.int32), strict=True))
         if bucket[0].as_py() >= 0 and len(key):
             order = np.argsort(key, kind="stable")
             key, d, h, an, many = key[order], d[order], h[order], an[order], many[order]
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(begin, len(key)))
-            keep = np.repeat((size > 1) | np.logical_or.reduceat(many, begin), size)
-            d, h, an = d[keep], h[keep], an[keep]
-        return pa.table({"d": d, "h": h, "anchor": an})
+            total = np.add.reduceat(many.astype(np.int64), begin)
+            keep, hot = np.repeat(total > 1, size), key[begin][total > HOT]
+            none = np.zeros(len(hot), np.int64)
+            key, d, h, an = np.append(key[keep], hot), np.append(d[keep], none), np.append(h[keep], none), np.append(an[keep], (none - 1).astype(np.int32))
+        return pa.table({"d": d, "h": h, "anchor": an, "key": key})
 
-    return texts.mapInArrow(send, schema).groupBy("bucket").applyInArrow(receive, "d long, h long, anchor int")
+    return texts.mapInArrow(send, schema).groupBy("bucket").applyInArrow(receive, "d long, h long, anchor int, key long")
+
+
+def known_pieces(row: np.ndarray, anchor: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Which of the pieces have their anchor in their row's sorted list."""
+    many = np.diff(lists.offsets.to_numpy())
+    known = lists.flatten().to_numpy().astype(np.int64) + (np.repeat(np.arange(len(many)), many) << 32)
+    if not len(known):
+        return np.zeros(0, np.int64)
+    code = (row << 32) + anchor
+    return np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code)
+
+
+def hot_windows(joined: DataFrame, tables: Tables, length: int) -> DataFrame:
+    """(d, h, start, stop): the runs of windows with a hot anchor, `hots`, that also start earlier. Such windows are compared by two 64-bit hashes of their
+    bytes, each window at the place of its own hash, so that neither an anchor nor a passage that very many texts have gathers in a task: the first
+    window of each hash is found by a minimum that combines before the shuffle, and the others by their positions."""
+
+    def cut(batches):
+        for batch in batches:
+            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at in range(0, batch.num_rows, SLICE):
+                body, off = utf8(batch.column(2).slice(at, SLICE))
+                row, _, anchor, first, last = pieces(body, off, length)
+                here = known_pieces(row, anchor, batch.column(3).slice(at, SLICE))
+                many = last[here] - first[here] + 1
+                start = np.repeat(first[here], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                row = np.repeat(row[here], many)
+                if not len(row):
+                    continue
+                place, out = off[row] + start, []
+                back = powers(BASE_INVERSE, len(body) + 1)
+                for code in (BYTE_CODE, mix(BYTE_CODE + M)):
+                    run = np.append(np.zeros(1, np.uint64), np.cumsum(code[body] * powers(BASE, len(body)), dtype=np.uint64))
+                    out.append(mix((run[place + length] - run[place]) * back[place]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(ids[at + row]), pa.array(hashes[at + row]), pa.array(start)], ["a", "b", "d", "h", "start"])
+
+    windows = tables.put("windows", joined.select("d", "h", "text", "hots").where("size(hots) > 0").mapInArrow(cut, "a long, b long, d long, h long, start long"))
+    first = windows.groupBy("a", "b").agg(F.min(F.struct("d", "h", "start")).alias("first")).select("first.*").hint("merge")
+    later = windows.select("d", "h", "start").join(first, ["d", "h", "start"], "left_anti")
+    order = Window.partitionBy("d", "h").orderBy("start")
+    runs = later.withColumn("run", F.coalesce((F.col("start") > F.lag("start").over(order) + length).cast("int"), F.lit(1)))
+    runs = runs.withColumn("run", F.sum("run").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("d", "h", "run").agg(F.min("start").alias("start"), (F.max("start") + length).alias("stop")).drop("run")
 
 
 def spans(start: np.ndarray, stop: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +207,8 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
 
     Windows meet where their anchors do: the pieces of text around anchors that occur more than once are sent to the shard of the
     anchor's hash, byte by byte only once from each task; further copies in a task are later copies at once, so that a hot passage
-    costs a shard one piece a task. A shard sorts the suffixes of its distinct pieces."""
+    costs a shard one piece a task. A shard sorts the suffixes of its distinct pieces. Windows of anchors that very many pieces have, which would all be of one
+    shard, are compared by hot_windows()."""
     spark = documents.sparkSession
     volume = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -169,7 +216,10 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
     anchors = tables.put("anchors", repeated_anchors(documents, length, buckets))
     found = anchors.count()
     shards = max(4 * parts, found * 150 // SHARD_BYTES)
-    listed = anchors.groupBy("d", "h").agg(F.sort_array(F.collect_list("anchor")).alias("anchors")).hint("merge")
+    hot = anchors.where("anchor < 0").select("key", F.lit(True).alias("hot"))
+    any_hot = bool(hot.limit(1).count())
+    marked = anchors.where("anchor >= 0").join(hot, "key", "left") if any_hot else anchors.withColumn("hot", F.lit(None).cast("boolean"))
+    listed = marked.groupBy("d", "h").agg(*[F.sort_array(F.collect_list(F.when(which, F.col("anchor")))).alias(name) for name, which in (("anchors", F.col("hot").isNull()), ("hots", F.col("hot")))]).hint("merge")
     names = ["bucket", "d", "h", "start", "stop", "size", "body"]
     schema = "bucket long, d binary, h binary, start binary, stop binary, size binary, body binary"
 
@@ -181,12 +231,7 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
             for at in range(0, batch.num_rows, SLICE):
                 body, off = utf8(batch.column(2).slice(at, SLICE))
                 row, key, anchor, first, last = pieces(body, off, length)
-                mine = listed_.slice(at, SLICE)
-                many = np.diff(mine.offsets.to_numpy())
-                known = mine.flatten().to_numpy().astype(np.int64) + (np.repeat(np.arange(len(many)), many) << 32)
-                code = (row << 32) + anchor
-                at_ = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
-                here = np.flatnonzero(known[at_] == code) if len(known) else np.zeros(0, np.int64)
+                here = known_pieces(row, anchor, listed_.slice(at, SLICE))
                 raw = body.tobytes()
                 lo, hi = off[row[here]] + first[here], off[row[here]] + last[here] + length
                 shard = bucket_of(key[here], shards)
@@ -248,8 +293,10 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
             d, h, start, stop = d[one[o]], h[one[o]], a, z
         return pa.table({"d": d, "h": h, "start": start, "stop": stop})
 
-    joined = documents.join(listed, ["d", "h"]).select("d", "h", "text", "anchors")
-    got = joined.mapInArrow(cut, schema).groupBy("bucket").applyInArrow(sort, "d long, h long, start long, stop long")
+    joined = documents.join(listed, ["d", "h"])
+    got = joined.select("d", "h", "text", "anchors").mapInArrow(cut, schema).groupBy("bucket").applyInArrow(sort, "d long, h long, start long, stop long")
+    if any_hot:
+        got = got.unionByName(hot_windows(joined, tables, length))
     return tables.put("spans", got.groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")))
 
 
@@ -261,7 +308,7 @@ def with_spans(documents: DataFrame, length: int, id_col: str, text_col: str) ->
         source = source.dropDuplicates(["d", "h"])
     names = fresh(documents.columns, "_d", "_h", "_spans")
     found = removed_spans(source, tables, length).select("d", "h", "spans").toDF(*names).hint("merge")
-    tables.drop("anchors")
+    tables.drop("anchors", "windows")
     joined = documents.join(found, (documents[id_col].cast("long") == found[names[0]]) & (F.xxhash64(documents[text_col]) == found[names[1]]), "left")
     return joined.drop(*names[:2]), names[2]
 

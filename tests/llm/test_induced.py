@@ -30,6 +30,21 @@ def test_order_and_common_prefixes(seed):
             assert n == common[i]
 
 
+def test_shard_larger_than_its_queue(monkeypatch):
+    """With a queue of a sixteenth of the shard, tuples go to the file and come back, and the order is the same."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    strings = [" ".join(rng.choice(words) for _ in range(60)).encode() for _ in range(400)]
+    spills = []
+    spill = Queue.spill
+    monkeypatch.setattr(Queue, "spill", lambda self, c: spills.append(c) or spill(self, c))
+    large = Shard(strings, 100, 1 << 30)
+    want = large.suffixes()
+    assert not spills
+    got = Shard(strings, 100, large.n // 16).suffixes()
+    assert len(spills) > 20 and all((x == y).all() for x, y in zip(got, want, strict=True))
+
+
 def test_queue_spills_in_order():
     import numpy as np
 
