@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BYTE_CODE, Tables, connected_components, hashed_words, joined, mix, utf8
@@ -19,10 +19,8 @@ SLICE, PACK = 2048, 64
 FREQUENT = 12
 #: Combinations with at most this many sets give all their pairs at once.
 SMALL = 8
-#: The same for combinations that were made longer by a token outside a hub.
-SMALL_LATER = 32
-#: Groups of at most so many sets, with so many tokens in all, are compared within one task.
-SOLVED, SOLVED_TOKENS = 256, 4_000_000
+#: Groups of at most SOLVED sets are compared within one task; larger ones by blocks of about BLOCK sets; either with about TOKENS tokens at most.
+SOLVED, BLOCK, TOKENS = 2048, 1024, 4_000_000
 #: A hot key's rows are dealt to so many tasks.
 SALTS = 16
 #: Tokens that a worker holds at a time.
@@ -247,87 +245,54 @@ def couples(keyed: DataFrame, key: str, most: int) -> DataFrame:
     return few.select(F.explode(pair).alias("p")).select("p.*")
 
 
-def refined(tables: Tables, made: DataFrame, members: DataFrame, hubs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Longer combinations for the nodes (g, node, n, q) of groups, hubs being (g, hub, hn, least: the smallest n in the group), and the links (u, v)
-    of nodes with their group's hub. A new key (key, g, node, n, q) is a group and a token outside its hub, or one that a set lacks of it.
-
-    Two sets x, y with x not similar to the hub h: if all that they share is in h, they share no more than x and h do, so that y can be similar to
-    x only if y is smaller than h. So (1) of the tokens outside h, x and y share at least `need`, which follows from the sizes; by the usual
-    prefix rule x leaves out need - 1 of them and y as many as its own need says, none if it is linked to h. (2) Where need may be below 1 (x nearly similar to h, y smaller
-    than h), and all that they share is in h, y lacks at most num (hn - yn) / (num + den) tokens of h that x has, so of one more than that of the tokens that y
-    lacks x lacks one, too. If both are similar to h, they are linked to it. So each similar pair meets in a new key or in the hub."""
-
-    names = ["key", "g", "node", "n", "q", "near"]
-
-    def step(batches):
-        for batch in batches:
-            key, groups, nodes, sizes, shares, links = [], [], [], [], [], []
-            for g, node, n, q, hub, hn, least, s, t in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
-                if node == hub:
-                    continue
-                x, h = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                inside = h[np.minimum(np.searchsorted(h, x), len(h) - 1)] == x
-                o = int(inside.sum())
-                near = (den + num) * o >= num * (n + hn)
-                least = max(least, -(-n * num // den))
-                need = 1 if near else -(-num * (n + least) // (num + den)) - o
-                more = x[~inside]
-                tokens = [mix(more[: len(more) - max(need, 1) + 1] + np.uint64(g & (1 << 64) - 1))]
-                band = not near and need < 1
-                if band or n < hn:
-                    lacks = h[~(x[np.minimum(np.searchsorted(x, h), len(x) - 1)] == h)]
-                    if not band:
-                        some = num * (hn - n) // (num + den) + 1
-                        lacks = lacks[np.argsort(mix(lacks + np.uint64(node & (1 << 64) - 1)))[:some]]
-                    tokens.append(mix(mix(lacks + np.uint64(g & (1 << 64) - 1)) + WORD))
-                got = np.concatenate(tokens).view(np.int64)
-                key.append(got)
-                groups.append(np.full(len(got), g))
-                nodes.append(np.full(len(got), node))
-                sizes.append(np.full(len(got), n))
-                shares.append(np.full(len(got), q))
-                if near:
-                    links.append((hub, node))
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (key, groups, nodes, sizes, shares)] + [pa.array(np.zeros(sum(map(len, key)), bool))], names)
-            if links:
-                link = np.array(links, np.int64)
-                zero = pa.array(np.zeros(len(link), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(link[:, 0]), zero, pa.array(link[:, 1]), zero, zero, pa.array(np.ones(len(link), bool))], names)
-
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")
-    spread = hubs.join(made.toDF("hub", "t"), "hub").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
-    rows = members.join(made, "node").select("*", salt).join(spread, ["g", "salt"]).select("g", "node", "n", "q", "hub", "hn", "least", "s", "t")
-    out = tables.put("refined", rows.mapInArrow(step, "key long, g long, node long, n long, q long, near boolean"))
-    return out.where("not near").drop("near"), out.where("near").select(F.least("key", "node").alias("u"), F.greatest("key", "node").alias("v"))
-
-
 def solved(tables: Tables, made: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): a forest of the links among the nodes (g, node) of each group, which is small. A set goes once to its group."""
+    """(u, v): links among the nodes of each group, a forest of them from each task; members: (g, node, n, c), c being the component that other links have
+    joined a node to.
+
+    A group is one block, or, if it is large, blocks by hashes: those of a component that has BLOCK nodes of the group or more are blocks of their own. Each
+    pair of blocks is one task, which counts what sets share, by stretches of tokens, with matrix products; two blocks of one
+    component are left out, as all links between them are known. So a set goes to a task once for each block of its group, no
+    task holds more than two blocks, and no pair leaves a task but those of the forest."""
+    per = members.groupBy("g", "c").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
+    pool = F.when(F.col("m") >= BLOCK, F.col("c").cast("string")).otherwise("rest")
+    whole = Window.partitionBy("g")
+    per = per.withColumn("small", (F.sum("m").over(whole) <= SOLVED) & (F.sum("tokens").over(whole) <= TOKENS))
+    per = tables.put("pools", per.select("g", "c", "m", "tokens", F.when(F.col("small"), F.lit("all")).otherwise(pool).alias("pool")))
+    parts = F.when(F.col("pool") == "all", F.lit(1)).otherwise(F.greatest(F.ceil(F.sum("m") / BLOCK), F.ceil(F.sum("tokens") / TOKENS))).cast("int")
+    pools = per.groupBy("g", "pool").agg(parts.alias("parts"))
+    blocks = pools.select("g", "pool", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select("g", "pool", F.concat_ws("|", "pool", "k").alias("block"))
+    other = blocks.toDF("g", "pool2", "y")
+    tiles = blocks.withColumnRenamed("block", "x").join(other, "g").where((F.col("x") <= F.col("y")) & ((F.col("pool") != F.col("pool2")) | F.col("pool").isin("rest", "all")))
+    need = tiles.select("g", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    placed = members.join(per.select("g", "c", "pool"), ["g", "c"]).join(pools, ["g", "pool"])
+    placed = placed.select("g", "node", F.concat_ws("|", "pool", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
 
     def solve(key: tuple, t: pa.Table) -> pa.Table:
-        node = t["node"].to_numpy()
+        node, first = t["node"].to_numpy(), np.array([b == key[1].as_py() for b in t["block"].to_pylist()])
+        one = key[1].as_py() == key[2].as_py()
         sets_ = [np.frombuffer(x, np.uint64) for x in t["s"].to_pylist()]
         n = np.array([len(x) for x in sets_], np.int64)
         token, row = np.concatenate(sets_), np.repeat(np.arange(len(n)), n)
         order = np.argsort(token, kind="stable")
         token, row = token[order], row[order]
         column = np.cumsum(np.append(False, token[1:] != token[:-1]))
-        many = np.bincount(column)
-        keep = many[column] > 1
-        row, column = row[keep], np.unique(column[keep], return_inverse=True)[1]
-        both = np.zeros((len(n), len(n)), np.float64)
-        for a in range(0, int(column.max(initial=-1)) + 1, 8192):  # by stretches of tokens
-            x, z = np.searchsorted(column, [a, a + 8192])
-            held = np.zeros((len(n), 8192), np.float32)
+        keep = np.bincount(column)[column] > 1
+        row, column = row[keep], column[keep]
+        column = np.cumsum(np.append(False, column[1:] != column[:-1])) if len(column) else column
+        left, right = np.flatnonzero(first), np.flatnonzero(first if one else ~first)
+        both = np.zeros((len(left), len(right)), np.float64)
+        for a in range(0, int(column.max(initial=-1)) + 1, 4096):  # stretches of tokens
+            x, z = np.searchsorted(column, [a, a + 4096])
+            held = np.zeros((len(n), 4096), np.float32)
             held[row[x:z], column[x:z] - a] = 1
-            both += held @ held.T
-        u, v = np.nonzero(np.triu((den + num) * both >= num * (n[:, None] + n[None]), 1))
-        edges = pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["a", "b"])
-        found = [pa.table({"u": b.column(1), "v": b.column(0)}) for b in joined([edges])]
-        return pa.concat_tables(found)
+            both += held[left] @ held[right].T
+        hit = (den + num) * both >= num * (n[left][:, None] + n[right][None])
+        u, v = np.nonzero(np.triu(hit, 1) if one else hit)
+        edges = pa.RecordBatch.from_arrays([pa.array(node[left[u]]), pa.array(node[right[v]])], ["a", "b"])
+        return pa.concat_tables([pa.table({"u": e.column(1), "v": e.column(0)}) for e in joined([edges])])
 
-    return members.select("g", "node").join(made, "node").groupBy("g").applyInArrow(solve, "u long, v long")
+    sent = placed.join(made, "node").join(need, ["g", "block"])
+    return sent.select("g", "x", "y", "block", "node", "s").groupBy("g", "x", "y").applyInArrow(solve, "u long, v long")
 
 
 def counted_keys(tables: Tables, keys: DataFrame) -> DataFrame:
@@ -394,11 +359,11 @@ def heavy_keys(made: DataFrame, heavy: DataFrame, tables: Tables, num: int, den:
     return tables.put("keys", counted.mapInArrow(prefix, "key long, node long, n long, q long"))
 
 
-def with_hubs(tables: Tables, keyed: DataFrame, small: int, pairs: DataFrame | None, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) to verify, beside those given: all pairs of keys of at most `small` nodes, and of other keys those with the head."""
-    stars = keyed.where(f"many > {small} and node <> head.node").select(F.col("head.node").alias("u"), F.col("head.n").alias("un"), F.col("node").alias("v"), F.col("n").alias("vn"))
-    more = couples(keyed.where(f"many <= {small}"), "key", small).unionByName(stars).where(fits("un", "vn", num, den)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return tables.put("pairs", (more if pairs is None else pairs.unionByName(more)).distinct())
+def with_hubs(tables: Tables, keyed: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) to verify: those given, all pairs of keys of at most SMALL nodes, and of other keys those with the head."""
+    stars = keyed.where(f"many > {SMALL} and node <> head.node").select(F.col("head.node").alias("u"), F.col("head.n").alias("un"), F.col("node").alias("v"), F.col("n").alias("vn"))
+    more = couples(keyed.where(f"many <= {SMALL}"), "key", SMALL).unionByName(stars).where(fits("un", "vn", num, den)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return tables.put("pairs", pairs.unionByName(more).distinct())
 
 
 def fits(x: str, y: str, num: int, den: int):
@@ -433,37 +398,17 @@ def links(documents: DataFrame, tables: Tables, words: int, num: int, den: int,
     nodes = pairs.select(F.col("u").alias("a")).unionByName(pairs.select(F.col("v").alias("a"))).unionByName(heavy.select(F.col("node").alias("a"))).distinct()
     made = set_table(documents, tables, classes, nodes, words, id_col, text_col)
     keyed = counted_keys(tables, heavy_keys(made, heavy, tables, num, den, parts))
-    found, small = verified(tables, made, with_hubs(tables, keyed.withColumn("c", F.col("node")), SMALL, pairs, num, den), num, den), SMALL
-    big = keyed.where(f"many > {small}")
-    first = True
-    while big.limit(1).count():  # combinations of many sets that their hub did not join
+    found = verified(tables, made, with_hubs(tables, keyed.withColumn("c", F.col("node")), pairs, num, den), num, den)
+    big = keyed.where(f"many > {SMALL}")
+    if big.limit(1).count():  # combinations of many sets that their hub did not join
         named = tables.put("named", connected_components(tables, found.select(F.col("u").alias("a"), F.col("v").alias("b")), "inner"))
-        placed = tables.put("placed", big.join(named, "node", "left").select("*", F.coalesce("component", "node").alias("c")).drop("component"))
-        count = placed.groupBy("key", "c").agg(F.count("*").alias("m"), F.max("head").alias("head"), *([] if first else [F.min("g").alias("g")]))
-        open_ = count.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("most"), F.max("head").alias("head"), *([] if first else [F.min("g").alias("g")])).where("parts > 1")
-        if first:  # one group for all keys of which most sets are of one component, around the set of it of which others have most
-            centre = placed.groupBy("c").agg(F.max(F.struct("q", "node", "n")).alias("centre"))
-            group = open_.select("key", F.col("most.c").alias("c")).join(centre, "c").select("key", F.col("centre.node").alias("g"), F.col("centre.node").alias("hub"), F.col("centre.n").alias("hn"))
-        else:  # one for all keys of a group with one head, which the group's hub is not, so that groups get smaller with each step
-            group = open_.select("key", F.xxhash64("g", "head.node").alias("g"), F.col("head.node").alias("hub"), F.col("head.n").alias("hn"))
-        group = tables.put("group", group)
-        members = tables.put("members", placed.select("key", "node", "n", "q").join(group.select("key", "g"), "key").select("g", "node", "n", "q").distinct())
-        sizes = tables.put("sizes", members.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"), F.min("n").alias("least")))
-        few = F.expr(f"m <= {SOLVED} and tokens <= {SOLVED_TOKENS}")
-        near = solved(tables, made, members.join(sizes.where(few), "g", "left_semi"), num, den)
-        large = sizes.where(~few).select("g", "least")
-        if not large.limit(1).count():
-            found = tables.put("found", found.unionByName(near))
-            break
-        # sets of large groups meet by longer combinations
-        hubs = group.drop("key").distinct().join(large, "g")
-        keys, linked = refined(tables, made, members.join(large, "g", "left_semi"), hubs, num, den)
-        keyed = counted_keys(tables, keys)
-        small, first = SMALL_LATER, False
-        placed = keyed.join(named, "node", "left").select("*", F.coalesce("component", "node").alias("c"))
-        more = with_hubs(tables, placed, small, None, num, den).join(pairs, ["u", "v"], "left_anti")
-        found = tables.put("found", found.unionByName(near).unionByName(linked).unionByName(verified(tables, made, more, num, den)).distinct())
-        big = keyed.where(f"many > {small}")
+        placed = tables.put("placed", big.join(named, "node", "left").select("key", "node", "n", "q", F.coalesce("component", "node").alias("c")))
+        count = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
+        open_ = count.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("most")).where("parts > 1")
+        # one group for all keys of which most sets are of one component
+        group = tables.put("group", open_.select("key", F.col("most.c").alias("g")))
+        members = tables.put("members", placed.select("key", "node", "n", "c").join(group, "key").select("g", "node", "n", "c").distinct())
+        found = tables.put("found", found.unionByName(solved(tables, made, members, num, den)).distinct())
     name = classes.select(F.col("a").alias("node"), "first")
     out = found.join(name.toDF("u", "x"), "u").join(name.toDF("v", "y"), "v").select("x", "y").where("x <> y").distinct()
     return rows, tables.put("links", out)
@@ -488,5 +433,5 @@ def near_groups(documents: DataFrame, words: int = 5, num: int = 75, den: int =
     # rows with one id unite the classes they are in
     out = rows.join(named, ["a", "b", "n", "salt"], "left").select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component_id", "d")).alias("component_id"))
     out = tables.put("out", out)
-    tables.drop("postings", "shared", "often", "heavy", "sets", "tokens", "keys", "keyed", "pairs", "named", "placed", "group", "members", "sizes", "refined", "found", "dealt", "classes", "links", "prints", "inner-edges", "outer-edges")
+    tables.drop("postings", "shared", "often", "heavy", "sets", "tokens", "keys", "keyed", "pairs", "named", "placed", "group", "members", "pools", "found", "dealt", "classes", "links", "prints", "inner-edges", "outer-edges")
     return out
