@@ -25,12 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Folders of all tables made in this process.
+FOLDERS: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that operators have made in this process, also those that their lazy results still read: for callers who have
+    written what they want to keep."""
+    while FOLDERS:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(FOLDERS.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Tables:
     """Intermediate tables of one operator run, written once and read again, so that a lost executor costs no
-    recomputation. drop() removes the tables that the result no longer needs."""
+    recomputation. drop() removes the tables that the result no longer needs, clear() all."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.paths, self.made, self.base = spark, {}, 0, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        FOLDERS.append(self.base)
 
     def put(self, key: str, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{key}-{self.made}"

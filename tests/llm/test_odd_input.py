@@ -123,3 +123,13 @@ def test_toxicity_against_plain_counting(spark, monkeypatch):
 def test_toxicity_features_are_bounded(spark):
     with pytest.raises(ValueError):
         toxicity.train(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"), most_features=1 << 15)
+
+
+def test_clear_deletes_all_tables(spark):
+    import os
+
+    line_dedup.line_dedup_digest(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
+    where = common.FOLDERS[-1].removeprefix("file://")
+    assert os.path.isdir(where)
+    common.clear(spark)
+    assert not os.path.exists(where) and not common.FOLDERS

@@ -157,19 +157,20 @@ def test_shingle_join_classes(spark, corpus, monkeypatch, frequent, small, num):
     monkeypatch.setattr(shingle_join, "SMALL", small)
     monkeypatch.setattr(shingle_join, "HELD", 50)
     monkeypatch.setattr(shingle_join, "SOLVED", 12 * small)
+    monkeypatch.setattr(shingle_join, "BLOCK", 4 * small)
     monkeypatch.setattr(common, "EDGES_A_TASK", 7)
     rows = corpus[::2]
     assert groups_of(spark.createDataFrame(rows, SCHEMA).repartition(3), num=num) == brute_groups(rows, num)
 
 
-@pytest.mark.parametrize("seed,small,few", [(1, 3, 256), (2, 6, 40)])
-def test_shingle_join_of_families(spark, monkeypatch, seed, small, few):
-    """Copies of copies with words changed, put in and taken out, so that many pairs are just similar enough or just not: what the hubs
-    leave out is never a link."""
+@pytest.mark.parametrize("seed,small,few,tokens", [(1, 3, 2048, 4_000_000), (2, 2, 20, 4_000_000), (3, 2, 2048, 900)])
+def test_shingle_join_of_families(spark, monkeypatch, seed, small, few, tokens):
+    """Copies of copies with words changed, put in and taken out, so that many pairs are just similar enough or just not: no
+    link is lost, whatever the blocks."""
     monkeypatch.setattr(shingle_join, "FREQUENT", 3)
     monkeypatch.setattr(shingle_join, "SMALL", small)
-    monkeypatch.setattr(shingle_join, "SMALL_LATER", 2 * small)
-    monkeypatch.setattr(shingle_join, "SOLVED", few)
+    for name, value in (("SOLVED", few), ("BLOCK", 10), ("TOKENS", tokens)):
+        monkeypatch.setattr(shingle_join, name, value)
     rng = random.Random(seed)
     family = [[f"w{k}" for k in range(70)]]
     for _ in range(110):
@@ -203,8 +204,10 @@ def brute_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length", [100, 40])
-def test_suffix_dedup(spark, corpus, length):
+@pytest.mark.parametrize("length,hot", [(100, 20_000), (100, 2), (40, 5)])
+def test_suffix_dedup(spark, corpus, monkeypatch, length, hot):
+    """Whatever counts as a hot anchor, the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = corpus + [(5000, "é" * 300), (5001, "x" * 99), (5002, "x" * 100), (5003, "ab" * 200 + "é" * 80)]
     got = suffix_dedup.suffix_digest(spark.createDataFrame(rows, SCHEMA).repartition(4), length)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == brute_bytes(rows, length)
