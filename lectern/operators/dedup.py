@@ -16,12 +16,12 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def dedup_pass(df: DataFrame, key: str, columns: list[str], order: str, archive: str = "archive") -> DataFrame:
+def dedup_pass(df: DataFrame, key: str, columns: list[str], order: str, archive: str = "archive", count: str | None = None) -> DataFrame:
     """One row for each key: the survivor is the first of the rows with the largest quality; each column it lacks is filled with the first
     value that is there, in row order; archive lists all archives in row order, each occurrence of the survivor's with a star. Single
     rows stay as they are. The order column becomes one that sorts merged rows behind the others, by key.
 
-    Rows without a key don't take part in the shuffle. All aggregates but the list of archives, which is the result itself,
+    `count`: name of a further column with the number of rows that each has been. Rows without a key don't take part in the shuffle. All aggregates but the list of archives, which is the result itself,
     combine before the shuffle."""
     own = F.struct(F.lit(0).alias("late"), F.lit("").alias("key"), F.col(order).alias("ord"))
     names = [c for c in columns if c not in (key, archive)]
@@ -39,9 +39,11 @@ def dedup_pass(df: DataFrame, key: str, columns: list[str], order: str, archive:
     out += [F.coalesce(F.col("_s").getField(c), F.col(f"_first_{c}")).alias(c) for c in names]
     out.append(F.when(several, starred).otherwise(winner).alias(archive))
     late = F.struct(several.cast("int").alias("late"), F.when(several, F.col(key).cast("string")).otherwise("").alias("key"), F.col("_o").alias("ord"))
-    merged = keyed.select(*out, late.alias(order))
-    without = df.where(F.col(key).isNull()).select(*[F.col(c) for c in columns], own.alias(order))
-    return merged.select(*columns, order).unionByName(without)
+    rows = [] if count is None else [F.col("_n").alias(count)]
+    one = [] if count is None else [F.lit(1).cast("long").alias(count)]
+    merged = keyed.select(*out, late.alias(order), *rows)
+    without = df.where(F.col(key).isNull()).select(*[F.col(c) for c in columns], own.alias(order), *one)
+    return merged.select(*columns, order, *([] if count is None else [count])).unionByName(without)
 
 
 def deduplicate(df: DataFrame, columns: list[str], order: str, keys: tuple[str, ...] = ("DOI", "title"), archive: str = "archive") -> DataFrame:

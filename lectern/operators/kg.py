@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import norm_missing
+
 from ..functions.strings import swap_namespace, tag_value, title_key
 
 
@@ -69,3 +71,9 @@ def enrich_items(items: DataFrame, triples: DataFrame, predicates: dict[str, tup
     only = lambda c: F.when(F.size(c) == 1, F.element_at(c, 1))
     short = F.when(F.length(F.coalesce("shortTitle", F.lit(""))) < 2, F.coalesce(only("_models"), "shortTitle")).otherwise(F.col("shortTitle"))
     return matched.select("key", "title", F.concat("tags", added).alias("tags"), short.alias("shortTitle"), swap_namespace("subject", *namespaces).alias("archive"), F.coalesce(only("_repos"), "archiveLocation").alias("archiveLocation"))
+
+
+def papers_by_doi(items: DataFrame, triples: DataFrame, predicate: str, doi: str = "DOI") -> DataFrame:
+    """The items whose DOI exactly one subject of the triples (s, p, o) has under the predicate, with that subject as `paper` (S26). Missing DOIs find nothing."""
+    found = triples.where(F.col("p") == predicate).groupBy(F.col("o").alias("_doi")).agg(F.countDistinct("s").alias("_n"), F.min("s").alias("paper")).where("_n = 1").drop("_n")
+    return items.where(norm_missing(doi).isNotNull()).join(found, F.col(doi) == F.col("_doi")).drop("_doi")

@@ -16,6 +16,14 @@ def people(raw: DataFrame, column: str = "value") -> DataFrame:
     return raw.select(F.explode(F.from_json(column, PERSON)).alias("orcid", "person"))
 
 
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """(orcid, person) of the answers (orcid, resource, body) of a person's sub-resources, keywords, employments, educations and address (S23). A resource
+    that is missing or no JSON is NULL; of repeated answers the largest counts."""
+    kinds = {"keywords": ("kwd", "struct<keyword:array<struct<content:string>>>"), "educations": ("educations", f"struct<`education-summary`:array<{AFFILIATION}>>"), "employments": ("employments", f"struct<`employment-summary`:array<{AFFILIATION}>>"), "address": ("address", "struct<address:array<struct<country:struct<value:string>>>>")}
+    rows = parts.where(F.col("orcid").isNotNull()).groupBy("orcid").agg(*[F.max(F.when(F.col("resource") == r, F.col("body"))).alias(r) for r in kinds])
+    return rows.select("orcid", F.struct(*[F.from_json(r, kind).alias(name) for r, (name, kind) in kinds.items()]).alias("person"))
+
+
 def keywords(persons: DataFrame) -> DataFrame:
     """(orcid, kwd): one row a keyword, split at commas, trimmed, small letters."""
     rows = persons.select("orcid", F.explode("person.kwd.keyword.content").alias("k"))

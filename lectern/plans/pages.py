@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dump, filters
+from ..operators import dump, filters, kg, people
 from ..sinks import with_index
 from ..sources.envelopes import of_year, page_envelopes, scan_arxiv, scan_ieee
 from ..sources.files import raw_records
@@ -121,3 +121,36 @@ def item_flags(spark, d):
 def indexed_rows(spark, d):
     """The index column of an export (K3)."""
     return with_index(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")])
+
+
+@query("""
+SELECT c_custkey::VARCHAR AS orcid, k.kwd, NULL AS org, NULL AS start, 'kwd' AS type FROM customer, (SELECT unnest(['nlp', 'ml']) AS kwd) k WHERE c_nationkey % 3 <> 0
+UNION ALL SELECT c_custkey::VARCHAR, NULL, c_name, '2001', 'educ' FROM customer WHERE c_nationkey % 4 <> 0
+UNION ALL SELECT c_custkey::VARCHAR, NULL, c_mktsegment, '2010', 'work' FROM customer WHERE c_nationkey % 5 <> 0""")
+def merged_people(spark, d):
+    """Persons from the answers of their sub-resources, then keywords and life paths."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    who, nation = F.col("c_custkey").cast("string").alias("orcid"), F.col("c_nationkey")
+    step = lambda org, year: F.array(F.struct(F.struct(F.struct(F.lit(year).alias("value")).alias("year")).alias("start-date"), F.struct(org.alias("name")).alias("organization"), F.lit("dpt").alias("department-name")))
+    words = F.to_json(F.struct(F.array(F.struct(F.lit("NLP, ml").alias("content"))).alias("keyword")))
+    parts = c.where(nation % 3 != 0).select(who, F.lit("keywords").alias("resource"), words.alias("body"))
+    parts = parts.unionByName(c.where(nation % 4 != 0).select(who, F.lit("educations").alias("resource"), F.to_json(F.struct(step(F.col("c_name"), "2001").alias("education-summary"))).alias("body")))
+    parts = parts.unionByName(c.where(nation % 5 != 0).select(who, F.lit("employments").alias("resource"), F.to_json(F.struct(step(F.col("c_mktsegment"), "2010").alias("employment-summary"))).alias("body")))
+    parts = parts.unionByName(c.select(who, F.lit("address").alias("resource"), F.lit("no json").alias("body")))
+    persons = people.merged_parts(parts)
+    none = F.lit(None).cast("string")
+    words = people.keywords(persons).select("orcid", "kwd", none.alias("org"), none.alias("start"), F.lit("kwd").alias("type"))
+    return words.unionByName(people.life_paths(persons).select("orcid", none.alias("kwd"), "org", "start", "type"))
+
+
+@query("""
+WITH t AS (SELECT l_orderkey AS k, count(DISTINCT l_suppkey) AS n, 'http://r/' || min(l_suppkey) AS paper FROM lineitem GROUP BY 1)
+SELECT o_orderkey, paper FROM orders JOIN t ON o_orderkey = k WHERE n = 1 AND o_orderstatus <> 'F'""")
+def papers_in_graph(spark, d):
+    """Items whose DOI exactly one paper of a triple store has (S26); a third of the orders have no DOI."""
+    li, o = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("lineitem", "orders"))
+    doi = F.concat(F.lit("10/"), F.col("l_orderkey").cast("string"))
+    rows = li.select(F.concat(F.lit("http://r/"), F.col("l_suppkey").cast("string")).alias("s"), F.lit("P26").alias("p"), doi.alias("o"))
+    rows = rows.unionByName(li.select(F.lit("http://other").alias("s"), F.lit("P1").alias("p"), doi.alias("o")))
+    items = o.select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("10/"), F.col("o_orderkey").cast("string"))).otherwise("NA").alias("DOI"))
+    return kg.papers_by_doi(items, rows, "P26").select("o_orderkey", "paper")

@@ -48,9 +48,8 @@ def aggregate_flagship(spark, d):
     r = r.withColumn("title", F.trim("title"))
     k = filters.keyword_filter(r, ["the", "que"])
     cols = ["title", "language", "archive", "pages", "issue"]
-    n = k.groupBy("title").agg(F.count("*").alias("n")).withColumnRenamed("title", "_t")
-    out = dedup.dedup_pass(k.select(*cols, "ord"), "title", cols, "ord")
-    return out.join(n, out["title"] == n["_t"]).groupBy("archive").agg(F.count("*").alias("n_records"), F.sum("n").alias("n_rows"))
+    out = dedup.dedup_pass(k.select(*cols, "ord"), "title", cols, "ord", count="n").where("title is not null")
+    return out.groupBy("archive").agg(F.count("*").alias("n_records"), F.sum("n").alias("n_rows"))
 
 
 # ---- filters --------------------------------------------------------------------------------------------------
@@ -171,7 +170,7 @@ def record_quality(spark, d):
 WITH k AS (SELECT nullif(lower(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g')), '') AS key FROM documents)
 SELECT md5(key) AS key, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY k.key HAVING count(*) > 1""")
 def dup_keys(spark, d):
-    return dedup.duplicate_keys(docs(spark, d).select(S.squash("text").alias("key")), "key").select(F.md5("key").alias("key"), "n")
+    return dedup.duplicate_keys(docs(spark, d).select(F.md5(S.squash("text")).alias("key")), "key")  # digests, not texts, are shuffled
 
 
 PART = """

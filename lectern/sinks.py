@@ -22,8 +22,10 @@ def write_state(df: DataFrame, path: str) -> None:
 
 def with_index(df: DataFrame, by: list[str], name: str = "index") -> DataFrame:
     """A first column of row numbers from 0 in the order of `by`, which must be unique, without bringing all rows into one task: the rows are sorted over
-    range partitions, and each gets its place in its partition and the number of rows in those before, which is one row a partition."""
-    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    range partitions, and each gets its place in its partition and the number of rows in those before, which is one row a partition. The
+    ranges come from a sample, so both uses must see the same ones: the sorted rows are persisted (spark.catalog.clearCache() frees them), and a lost part is
+    made anew within the same ranges."""
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).persist()
     rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1)
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
