@@ -126,7 +126,7 @@ def smallest(q: np.ndarray, x: np.ndarray, d: np.ndarray, most: int) -> np.ndarr
     return order[place < most]
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 10, tables: int = 6, recall: float = 0.96, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = 10, tables: int = 6, recall: float = 0.94, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by Euclidean distance, ties to the smaller id. queries: rows of df.
 
     Equal vectors are indexed once, with their k + 1 smallest ids. Every class is in one bucket of each of `tables` tables; a query
