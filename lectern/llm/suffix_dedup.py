@@ -16,8 +16,11 @@ LENGTH = 100
 GRAM = 24  # bytes of an anchor
 SLICE = 32  # texts at a time, so that their arrays stay in a core's cache
 SHARD_BYTES = 3 << 19  # a shard's sort takes about 65 times as much
-HOT = 20_000  # of pieces around one anchor; with more, its windows are dealt by their own hashes
+HOT = 20_000  # of pieces around one anchor that tasks send; with more, its windows are dealt by their own hashes
+COPIES = 20  # so many pieces count as one that is sent, if they are copies within what tasks have read
 FLUSH_BYTES = 8 << 20  # of distinct pieces that a task holds before it sends them
+FLUSH_WINDOWS = 1 << 20  # of hot anchors, likewise
+WINDOWS = 100_000  # of hot anchors that one group is meant to have
 M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,13 +44,14 @@ def gram_hashes(body: np.ndarray, gram: int = GRAM) -> np.ndarray:
 
 
 def pieces(body: np.ndarray, off: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, key, anchor, first, last) of the pieces of the texts. The anchor of a window of `length` bytes is the leftmost of its grams with
+    """(row, key, anchor, first, last, whole) of the pieces of the texts. The anchor of a window of `length` bytes is the leftmost of its grams with
     the smallest hash, so equal windows have equal anchors at equal offsets. A piece is a run of windows, from `first` to
-    `last`, with the same anchor; key is the hash of the anchor's bytes. Positions are within the text."""
+    `last`, with the same anchor; key is the hash of the anchor's bytes, whole the sum of the hashes of all the piece's grams. Positions are within the
+    text."""
     n = len(body) - length + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty
     h = gram_hashes(body, gram)
     v = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     width, have = length - gram + 1, 1
@@ -63,7 +67,9 @@ def pieces(body: np.ndarray, off: np.ndarray, length: int, gram: int = GRAM) ->
     new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))) if len(row) else empty
     last = np.append(new[1:], len(row)) - 1
     base = off[row[new]]
-    return row[new], h[anchor[new]].view(np.int64), anchor[new] - base, start[new] - base, start[last] - base
+    run = np.append(np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64))
+    whole = (run[start[last] + length - gram + 1] - run[start[new]]).view(np.int64)
+    return row[new], h[anchor[new]].view(np.int64), anchor[new] - base, start[new] - base, start[last] - base, whole
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -72,53 +78,59 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated_anchors(texts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(d, h, anchor, key) of the pieces whose anchor's bytes anchor another piece, too, and a row with anchor -1 for each key of more than HOT pieces. A task
-    sends each key once, with the first piece that has it and how many have; the other pieces with that key are known at once."""
-    schema = "bucket long, key binary, d binary, h binary, anchor binary, many binary"
-    names = ["bucket", "key", "d", "h", "anchor", "many"]
+    """(d, h, anchor) of the pieces whose anchor's bytes anchor another piece, too, and for each hot anchor a row of its key, about how many
+    pieces of it will be sent, and -1. An anchor is hot by its distinct pieces: copies within what a task holds are sent once. A task sends each
+    key once, with the first piece that has it, how many have, and how many of these differ; the other pieces with that key are known at once."""
+    schema = "bucket long, key binary, d binary, h binary, anchor binary, many binary, distinct binary"
+    names = ["bucket", "key", "d", "h", "anchor", "many", "distinct"]
 
     def send(batches):
         for batch in batches:
-            ks, ds, hs, an = [], [], [], []
+            parts = [[], [], [], [], []]
             d, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at in range(0, batch.num_rows, SLICE):
                 body, off = utf8(batch.column(2).slice(at, SLICE))
-                row, key, anchor, _, _ = pieces(body, off, length)
-                ks.append(key)
-                ds.append(d[at + row])
-                hs.append(h[at + row])
-                an.append(anchor)
-            key, d, h, an = np.concatenate(ks), np.concatenate(ds), np.concatenate(hs), np.concatenate(an).astype(np.int32)
+                row, key, anchor, _, _, whole = pieces(body, off, length)
+                for part, x in zip(parts, (key, whole, d[at + row], h[at + row], anchor.astype(np.int32)), strict=True):
+                    part.append(x)
+            key, whole, d, h, an = map(np.concatenate, parts)
             order = np.argsort(key, kind="stable")
-            key, d, h, an = key[order], d[order], h[order], an[order]
+            key, whole, d, h, an = key[order], whole[order], d[order], h[order], an[order]
             first = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
             rest = np.flatnonzero(~first)
             for a in range(0, len(rest), 50_000):
                 k = rest[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - (a // 50_000 + int(key[k[0]]) & 0xFFFF)]), *(pa.array([x[k].tobytes()], pa.binary()) for x in (key, d, h, an)), pa.array([b""], pa.binary())], names)
+                none = pa.array([b""], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - (a // 50_000 + int(key[k[0]]) & 0xFFFF)]), none, *(pa.array([x[k].tobytes()], pa.binary()) for x in (d, h, an)), none, none], names)
             begin = np.flatnonzero(first)
             many = np.diff(np.append(begin, len(key))).astype(np.int32)
+            among = np.flatnonzero(np.repeat(many > 1, many))  # pieces that share their key
+            owner, whole = np.repeat(np.arange(len(begin)), many)[among], whole[among]
+            order = np.lexsort((whole, owner))
+            same = (owner[order[1:]] == owner[order[:-1]]) & (whole[order[1:]] == whole[order[:-1]])
+            distinct = (many - np.bincount(owner[order[1:][same]], minlength=len(begin))).astype(np.int32)
             key, d, h, an = key[begin], d[begin], h[begin], an[begin]
             bucket = bucket_of(key, buckets)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array([x[order[cut[k] : cut[k + 1]]].tobytes() for k in full], pa.binary()) for x in (key, d, h, an, many))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array([x[order[cut[k] : cut[k + 1]]].tobytes() for k in full], pa.binary()) for x in (key, d, h, an, many, distinct))], names)
 
     def receive(bucket: tuple, t: pa.Table) -> pa.Table:
-        key, d, h, an, many = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip(names[1:], (np.int64, np.int64, np.int64, np.int32, np.int32), strict=True))
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
+        key, d, h, an, many, distinct = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip(names[1:], kinds, strict=True))
         if bucket[0].as_py() >= 0 and len(key):
             order = np.argsort(key, kind="stable")
-            key, d, h, an, many = key[order], d[order], h[order], an[order], many[order]
+            key, d, h, an, many, distinct = key[order], d[order], h[order], an[order], many[order], distinct[order]
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(begin, len(key)))
             total = np.add.reduceat(many.astype(np.int64), begin)
-            keep, hot = np.repeat(total > 1, size), key[begin][total > HOT]
-            none = np.zeros(len(hot), np.int64)
-            key, d, h, an = np.append(key[keep], hot), np.append(d[keep], none), np.append(h[keep], none), np.append(an[keep], (none - 1).astype(np.int32))
-        return pa.table({"d": d, "h": h, "anchor": an, "key": key})
+            sends = np.maximum(np.add.reduceat(distinct.astype(np.int64), begin), total // COPIES)
+            keep, hot = np.repeat(total > 1, size), (total > 1) & (sends > HOT)
+            d, h, an = np.append(d[keep], key[begin][hot]), np.append(h[keep], sends[hot]), np.append(an[keep], np.full(int(hot.sum()), -1, np.int32))
+        return pa.table({"d": d, "h": h, "anchor": an})
 
-    return texts.mapInArrow(send, schema).groupBy("bucket").applyInArrow(receive, "d long, h long, anchor int, key long")
+    return texts.mapInArrow(send, schema).groupBy("bucket").applyInArrow(receive, "d long, h long, anchor int")
 
 
 def known_pieces(row: np.ndarray, anchor: np.ndarray, lists: pa.Array) -> np.ndarray:
@@ -131,37 +143,17 @@ def known_pieces(row: np.ndarray, anchor: np.ndarray, lists: pa.Array) -> np.nda
     return np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code)
 
 
-def hot_windows(joined: DataFrame, tables: Tables, length: int) -> DataFrame:
-    """(d, h, start, stop): the runs of windows with a hot anchor, `hots`, that also start earlier. Such windows are compared by two 64-bit hashes of their
-    bytes, each window at the place of its own hash, so that neither an anchor nor a passage that very many texts have gathers in a task: the first
-    window of each hash is found by a minimum that combines before the shuffle, and the others by their positions."""
-
-    def cut(batches):
-        for batch in batches:
-            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at in range(0, batch.num_rows, SLICE):
-                body, off = utf8(batch.column(2).slice(at, SLICE))
-                row, _, anchor, first, last = pieces(body, off, length)
-                here = known_pieces(row, anchor, batch.column(3).slice(at, SLICE))
-                many = last[here] - first[here] + 1
-                start = np.repeat(first[here], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                row = np.repeat(row[here], many)
-                if not len(row):
-                    continue
-                place, out = off[row] + start, []
-                back = powers(BASE_INVERSE, len(body) + 1)
-                for code in (BYTE_CODE, mix(BYTE_CODE + M)):
-                    run = np.append(np.zeros(1, np.uint64), np.cumsum(code[body] * powers(BASE, len(body)), dtype=np.uint64))
-                    out.append(mix((run[place + length] - run[place]) * back[place]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(ids[at + row]), pa.array(hashes[at + row]), pa.array(start)], ["a", "b", "d", "h", "start"])
-
-    windows = tables.put("windows", joined.select("d", "h", "text", "hots").where("size(hots) > 0").mapInArrow(cut, "a long, b long, d long, h long, start long"))
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("d", "h", "start")).alias("first")).select("first.*").hint("merge")
-    later = windows.select("d", "h", "start").join(first, ["d", "h", "start"], "left_anti")
-    order = Window.partitionBy("d", "h").orderBy("start")
-    runs = later.withColumn("run", F.coalesce((F.col("start") > F.lag("start").over(order) + length).cast("int"), F.lit(1)))
-    runs = runs.withColumn("run", F.sum("run").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("d", "h", "run").agg(F.min("start").alias("start"), (F.max("start") + length).alias("stop")).drop("run")
+def window_hashes(body: np.ndarray, low: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the bytes of each window of the pieces that begin at `low` and have so many windows, and its offset there."""
+    within = lambda n: np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    size = many + length - 1
+    part, offset = body[np.repeat(low, size) + within(size)], within(many)
+    place = np.repeat(np.cumsum(size) - size, many) + offset
+    forth, back, out = powers(BASE, len(part)), powers(BASE_INVERSE, len(part) + 1)[place], []
+    for code in (BYTE_CODE, mix(BYTE_CODE + M)):
+        run = np.append(np.zeros(1, np.uint64), np.cumsum(code[part] * forth, dtype=np.uint64))
+        out.append(mix((run[place + length] - run[place]) * back).view(np.int64))
+    return *out, offset
 
 
 def spans(start: np.ndarray, stop: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,8 +199,11 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
 
     Windows meet where their anchors do: the pieces of text around anchors that occur more than once are sent to the shard of the
     anchor's hash, byte by byte only once from each task; further copies in a task are later copies at once, so that a hot passage
-    costs a shard one piece a task. A shard sorts the suffixes of its distinct pieces. Windows of anchors that very many pieces have, which would all be of one
-    shard, are compared by hot_windows()."""
+    costs a shard one piece a task. A shard sorts the suffixes of its distinct pieces.
+
+    Windows of hot anchors, whose pieces would all be of one shard, are compared by two 64-bit hashes of their bytes, in the same pass over the texts: a task
+    sends each such window once, to the place of its own hash, so that neither an anchor nor a passage that very many texts have gathers in a
+    task. The driver holds the keys of hot anchors, of which there is at most one for each HOT pieces that are sent."""
     spark = documents.sparkSession
     volume = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -216,10 +211,10 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
     anchors = tables.put("anchors", repeated_anchors(documents, length, buckets))
     found = anchors.count()
     shards = max(4 * parts, found * 150 // SHARD_BYTES)
-    hot = anchors.where("anchor < 0").select("key", F.lit(True).alias("hot"))
-    any_hot = bool(hot.limit(1).count())
-    marked = anchors.where("anchor >= 0").join(hot, "key", "left") if any_hot else anchors.withColumn("hot", F.lit(None).cast("boolean"))
-    listed = marked.groupBy("d", "h").agg(*[F.sort_array(F.collect_list(F.when(which, F.col("anchor")))).alias(name) for name, which in (("anchors", F.col("hot").isNull()), ("hots", F.col("hot")))]).hint("merge")
+    hot = anchors.where("anchor < 0").select("d", "h").collect()
+    hots = np.array([r.d for r in hot], np.int64)
+    places = max(4 * parts, sum(r.h for r in hot) * (length - GRAM + 1) // WINDOWS)
+    listed = anchors.where("anchor >= 0").groupBy("d", "h").agg(F.sort_array(F.collect_list("anchor")).alias("anchors")).hint("merge")
     names = ["bucket", "d", "h", "start", "stop", "size", "body"]
     schema = "bucket long, d binary, h binary, start binary, stop binary, size binary, body binary"
 
@@ -228,10 +223,18 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
             ids, hashes, listed_ = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             seen: dict[bytes, int] = {}
             gone, kept, held = [], [], 0  # (row, start, stop) of later copies; (shard, row, start, size) of the first ones
+            windows, many = [], 0  # (hash, hash, row, start) of those with a hot anchor
             for at in range(0, batch.num_rows, SLICE):
                 body, off = utf8(batch.column(2).slice(at, SLICE))
-                row, key, anchor, first, last = pieces(body, off, length)
+                row, key, anchor, first, last, _ = pieces(body, off, length)
                 here = known_pieces(row, anchor, listed_.slice(at, SLICE))
+                is_hot = np.isin(key[here], hots)
+                there, here = here[is_hot], here[~is_hot]
+                if len(there):
+                    n = last[there] - first[there] + 1
+                    *codes, offset = window_hashes(body, off[row[there]] + first[there], n, length)
+                    windows.append((*codes, np.repeat(row[there] + at, n), np.repeat(first[there], n) + offset))
+                    many += len(offset)
                 raw = body.tobytes()
                 lo, hi = off[row[here]] + first[here], off[row[here]] + last[here] + length
                 shard = bucket_of(key[here], shards)
@@ -248,14 +251,30 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
                             kept[other] = (s, r1, a1, n)
                             r1, a1 = r0, a0
                         gone.append((r1, a1, a1 + n))
-                if held > FLUSH_BYTES:
-                    yield from sent(ids, hashes, seen, kept, gone)
-                    seen, kept, gone, held = {}, [], [], 0
-            yield from sent(ids, hashes, seen, kept, gone)
-
-    def sent(ids, hashes, seen, kept, gone):
-        if gone:
-            g = np.array(gone, np.int64)
+                if held > FLUSH_BYTES or many > FLUSH_WINDOWS:
+                    yield from sent(ids, hashes, seen, kept, gone, windows)
+                    seen, kept, gone, held, windows, many = {}, [], [], 0, [], 0
+            yield from sent(ids, hashes, seen, kept, gone, windows)
+
+    def sent(ids, hashes, seen, kept, gone, windows):
+        g = np.array(gone, np.int64).reshape(-1, 3)
+        if windows:
+            a, b, row, start = map(np.concatenate, zip(*windows, strict=True))
+            rank = np.empty(len(ids), np.int64)
+            rank[np.lexsort((hashes, ids))] = np.arange(len(ids))
+            order = np.lexsort((rank[row] << 32 | start, b, a))
+            a, b, row, start = a[order], b[order], row[order], start[order]
+            first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            g = np.concatenate([g, np.stack([row, start, start + length], 1)[~first]])
+            place = shards + bucket_of(a[first], places)
+            order = np.argsort(place, kind="stable")
+            a, b, row, start, place = a[first][order], b[first][order], row[first][order], start[first][order], place[order]
+            edge = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place)).tolist()
+            for x in range(0, len(edge) - 1, 64):
+                part = [slice(*e) for e in zip(edge[x : x + 64], edge[x + 1 : x + 65])]
+                columns = (ids[row], hashes[row], start, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array([int(place[k.start]) for k in part]), *(pa.array([c[k].tobytes() for k in part], pa.binary()) for c in columns), pa.array([b""] * len(part), pa.binary())], names)
+        if len(g):
             start, stop, row = spans(g[:, 1], g[:, 2], g[:, 0])
             for a in range(0, len(row), 20_000):
                 k = slice(a, a + 20_000)
@@ -272,7 +291,12 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
 
     def sort(bucket: tuple, t: pa.Table) -> pa.Table:
         d, h, start, stop, size = (np.frombuffer(b"".join(t[c].to_pylist()), np.int64) for c in names[1:6])
-        if bucket[0].as_py() >= 0:
+        if bucket[0].as_py() >= shards:  # windows by their hashes
+            order = np.lexsort((start, h, d, size, stop))
+            a, b = stop[order], size[order]
+            later = order[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1])]
+            d, h, start, stop = d[later], h[later], start[later], start[later] + length
+        elif bucket[0].as_py() >= 0:
             body = b"".join(t["body"].to_pylist())
             ends = np.cumsum(size)
             order = np.lexsort((start, h, d))
@@ -293,11 +317,12 @@ def removed_spans(documents: DataFrame, tables: Tables, length: int) -> DataFram
             d, h, start, stop = d[one[o]], h[one[o]], a, z
         return pa.table({"d": d, "h": h, "start": start, "stop": stop})
 
-    joined = documents.join(listed, ["d", "h"])
-    got = joined.select("d", "h", "text", "anchors").mapInArrow(cut, schema).groupBy("bucket").applyInArrow(sort, "d long, h long, start long, stop long")
-    if any_hot:
-        got = got.unionByName(hot_windows(joined, tables, length))
-    return tables.put("spans", got.groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")))
+    got = documents.join(listed, ["d", "h"]).select("d", "h", "text", "anchors").mapInArrow(cut, schema).groupBy("bucket").applyInArrow(sort, "d long, h long, start long, stop long")
+    order = Window.partitionBy("d", "h").orderBy("start")  # intervals that touch are one before they are an array: single windows may be many
+    new = (F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+    runs = got.withColumn("new", F.coalesce(new, F.lit(0))).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("d", "h", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return tables.put("spans", runs.groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")))
 
 
 def with_spans(documents: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
@@ -308,7 +333,7 @@ def with_spans(documents: DataFrame, length: int, id_col: str, text_col: str) ->
         source = source.dropDuplicates(["d", "h"])
     names = fresh(documents.columns, "_d", "_h", "_spans")
     found = removed_spans(source, tables, length).select("d", "h", "spans").toDF(*names).hint("merge")
-    tables.drop("anchors", "windows")
+    tables.drop("anchors")
     joined = documents.join(found, (documents[id_col].cast("long") == found[names[0]]) & (F.xxhash64(documents[text_col]) == found[names[1]]), "left")
     return joined.drop(*names[:2]), names[2]
 

@@ -224,6 +224,48 @@ def test_suffix_dedup_texts_and_odd_rows(spark):
     assert suffix_dedup.suffix_digest(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def passages(n):
+    """Texts of their own around one passage."""
+    import random
+
+    rng = random.Random(3)
+    text = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    passage = text(60)
+    return [(k, f"{text(rng.randint(3, 30))} {passage} {text(rng.randint(3, 30))}") for k in range(n)]
+
+
+def test_copies_make_no_hot_anchor(spark, monkeypatch):
+    """Copies within a task are sent once, so only pieces that differ make an anchor hot."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    texts = lambda rows: spark.createDataFrame([(k, 0, t) for k, t in rows], "d long, h long, text string").coalesce(2)
+    copies = suffix_dedup.repeated_anchors(texts([(k, passages(1)[0][1]) for k in range(60)]), 100, 8)
+    assert copies.where("anchor >= 0").count() > 0 and copies.where("anchor < 0").count() == 0
+    assert suffix_dedup.repeated_anchors(texts(passages(60)), 100, 8).where("anchor < 0").count() > 0
+
+
+@pytest.mark.parametrize("flush", [50, 1 << 20])
+def test_hot_windows_in_the_same_pass(spark, monkeypatch, flush):
+    """No table has a row for each window of a hot anchor, texts are joined with their anchors once, and windows that touch are one span."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "FLUSH_WINDOWS", flush, raising=False)
+    put, seen = common.Tables.put, {}
+
+    def counted(self, key, df):
+        table = put(self, key, df)
+        seen[key] = table.count()
+        if key == "spans":
+            seen["joins"] = df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")
+            seen["longest"] = table.selectExpr("max(size(spans))").first()[0]
+        return table
+
+    monkeypatch.setattr(common.Tables, "put", counted)
+    rows = passages(40)
+    got = suffix_dedup.suffix_digest(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == brute_bytes(rows, 100)
+    assert seen["joins"] == 1 and seen["longest"] == 1
+    assert max(seen.values()) < 40 * 20  # pieces; windows are some 40 * 260
+
+
 def brute_lines(rows, m):
     seen, out = {}, {}
     docs = [(k, t.split("\n")) for k, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0])]
